@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import math
-from collections import defaultdict
+from collections import Counter
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import regex
@@ -15,16 +15,16 @@ from pyspark.sql import functions as F
 from .common import cut, map_texts, small_side, table
 
 K1, B = 1.2, 0.75
-#: Words of a passage and how far the next one starts; passages cover every word of a text.
-PASSAGE, STRIDE = 64, 32
-#: A passage is retrieved if it scores this share of what the item itself scores.
-SHARE = 0.35
-#: Postings of a block, whose largest impact is kept.
-BLOCK = 16
+#: Words of a cell; a passage is two cells, the next one starts a cell later, so any run of CELL + 1 words is in one.
+CELL = 64
+#: A passage is retrieved if it scores this share of what the item itself (its weakest CELL words) scores.
+SHARE = 0.6
+#: Items of a block, whose largest impact of each term is kept.
+BLOCK = 8
 #: Verification: runs of GRAM words of the question, of the answer; shares of them that a document must hold.
 GRAM, QUESTION, ANSWER = 5, 0.6, 0.6
-#: Words of test items in one index; more items make more indexes, each read by its own pass.
-INDEX_WORDS = 2_000_000
+#: Items of one index, and items whose indexes travel together; more items mean more passes over the documents.
+INDEX_ITEMS, PASS_ITEMS = 512, 16_384
 _WORD = regex.compile(r"[\p{L}\p{N}]+")
 
 
@@ -44,147 +44,130 @@ def grams(words: list[str]) -> set[tuple[str, ...]]:
 
 @dataclass
 class Index:
-    """Postings by term (item numbers and impacts, in blocks with their largest impact), and each item's threshold."""
+    """Impacts by term and item, their maxima by term and block of items, and each item's and block's threshold.
 
-    items: list[int] = field(default_factory=list)
-    threshold: list[float] = field(default_factory=list)
-    term: dict[str, int] = field(default_factory=dict)
-    docs: list[np.ndarray] = field(default_factory=list)
-    impact: list[np.ndarray] = field(default_factory=list)
-    block_max: list[np.ndarray] = field(default_factory=list)
-    upper: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    question: list[set] = field(default_factory=list)
-    answer: list[set] = field(default_factory=list)
+    Items are ordered by threshold, so that the items of a block fail or pass alike. The last row, of zeros, stands
+    for the words that no item has.
+    """
 
-    @property
-    def least(self) -> float:
-        return min(self.threshold, default=math.inf)
+    items: list[int]
+    term: dict[str, int]
+    impact: np.ndarray
+    block_max: np.ndarray
+    threshold: np.ndarray
+    block_least: np.ndarray
+    question: list[set]
+    answer: list[set]
 
 
-def build(items: list[tuple[int, list[str]]], share: float = SHARE) -> Index:
+def build(items: list[tuple[int, list[str]]], share: float = SHARE) -> Index | None:
     """Items without a word are left out: nothing can hold them."""
     items = [(i, w) for i, w in items if w]
-    index = Index(items=[i for i, _ in items])
     if not items:
-        return index
+        return None
     average = sum(len(w) for _, w in items) / len(items)
-    postings: dict[str, dict[int, int]] = defaultdict(dict)
-    for n, (_, words) in enumerate(items):
-        for w in words:
-            postings[w][n] = postings[w].get(n, 0) + 1
-    own = np.zeros(len(items))
-    for word, tfs in sorted(postings.items()):
-        docs = np.array(sorted(tfs))
-        tf = np.array([tfs[d] for d in docs], dtype=float)
-        length = np.array([len(items[d][1]) for d in docs])
-        impact = math.log(1 + (len(items) - len(docs) + 0.5) / (len(docs) + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / average))
-        index.term[word] = len(index.docs)
-        index.docs.append(docs)
-        index.impact.append(impact)
-        index.block_max.append(np.array([impact[k : k + BLOCK].max() for k in range(0, len(impact), BLOCK)]))
-        own[docs] += impact
-    index.upper = np.array([x.max() for x in index.impact])
-    index.threshold = (share * own).tolist()
-    for _, words in items:
-        q, a = question_answer(words)
-        index.question.append(grams(q))
-        index.answer.append(grams(a))
-    return index
-
-
-def retrieve(index: Index, terms: list[int]) -> list[tuple[int, float]]:
-    """All items whose BM25 score over the distinct terms reaches their threshold, by block-max WAND.
-
-    The pivot is the first item at which the upper bounds of the terms up to it could reach the least threshold;
-    block maxima then refute it or lead past the block, and only an item that stands is scored.
+    tfs = [Counter(w) for _, w in items]
+    df = Counter(w for tf in tfs for w in tf)
+    term = {w: k for k, w in enumerate(sorted(df))}
+
+    def impact_of(n: int, word: str) -> float:
+        tf, length = tfs[n][word], len(items[n][1])
+        return math.log(1 + (len(items) - df[word] + 0.5) / (df[word] + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / average))
+
+    def own(n: int) -> float:
+        words = items[n][1]
+        return min(sum(impact_of(n, w) for w in set(words[at : at + CELL])) for at in range(0, max(1, len(words) - CELL + 1)))
+
+    threshold = [share * own(n) for n in range(len(items))]
+    order = sorted(range(len(items)), key=lambda n: (threshold[n], items[n][0]))
+    blocks = -(-len(items) // BLOCK)
+    impact = np.zeros((len(term) + 1, blocks * BLOCK))
+    for at, n in enumerate(order):
+        for word in tfs[n]:
+            impact[term[word], at] = impact_of(n, word)
+    least = np.full(blocks * BLOCK, np.inf)
+    least[: len(items)] = [threshold[n] for n in order]
+    parts = [question_answer(items[n][1]) for n in order]
+    return Index(
+        [items[n][0] for n in order], term, impact, impact.reshape(len(term) + 1, blocks, BLOCK).max(axis=2).astype(np.float32),
+        least, least.reshape(blocks, BLOCK).min(axis=1), [grams(q) for q, _ in parts], [grams(a) for _, a in parts],
+    )
+
+
+def retrieve(index: Index, passage: np.ndarray, terms: np.ndarray) -> Iterator[tuple[int, int, float]]:
+    """(passage, item place, score) of all items whose BM25 score over a passage's distinct terms reaches their threshold.
+
+    passage and terms are pairs sorted by passage. Block-max WAND over a batch: the sum of a block's
+    maxima is tested against the least threshold of its items, whole columns at a time, and only the items of blocks
+    that stand are scored, in full precision.
     """
-    floor = index.least - 1e-9
-    lists = [(t, index.docs[t], index.impact[t], index.block_max[t]) for t in sorted(set(terms))]
-    at = [0] * len(lists)
-    out, end = [], len(index.items)
-    while True:
-        live = sorted((k for k in range(len(lists)) if at[k] < len(lists[k][1])), key=lambda k: lists[k][1][at[k]])
-        bound, pivot = 0.0, -1
-        for n, k in enumerate(live):
-            bound += index.upper[lists[k][0]]
-            if bound >= floor:
-                pivot = n
-                break
-        if pivot < 0:
-            return out
-        item = int(lists[live[pivot]][1][at[live[pivot]]])
-        while pivot + 1 < len(live) and lists[live[pivot + 1]][1][at[live[pivot + 1]]] == item:
-            pivot += 1
-        refined, past = 0.0, end
-        for k in live[: pivot + 1]:
-            _, docs, _, maxima = lists[k]
-            j = at[k] + int(np.searchsorted(docs[at[k] :], item))
-            if j < len(docs):
-                refined += maxima[j // BLOCK]
-                past = min(past, int(docs[min(len(docs), (j // BLOCK + 1) * BLOCK) - 1]) + 1)
-        if pivot + 1 < len(live):
-            past = min(past, int(lists[live[pivot + 1]][1][at[live[pivot + 1]]]))
-        to = item + 1
-        if refined >= floor:
-            score = 0.0
-            for k in live[: pivot + 1]:
-                _, docs, impact, _ = lists[k]
-                j = at[k] + int(np.searchsorted(docs[at[k] :], item))
-                if j < len(docs) and docs[j] == item:
-                    score += impact[j]
-            if score >= index.threshold[item] - 1e-9:
-                out.append((item, score))
-        else:
-            to = max(to, past)
-        for k in live[: pivot + 1]:
-            at[k] += int(np.searchsorted(lists[k][1][at[k] :], to))
-
-
-def leaks(index: Index, text: str) -> list[tuple[int, float, float, float]]:
-    """(item id, best score, question share, answer share) of the items that a whole text holds."""
-    words = words_of(text)
-    if not words or not index.items:
-        return []
-    ids = np.fromiter((index.term.get(w, -1) for w in words), dtype=np.int64, count=len(words))
-    known = np.where(ids >= 0, index.upper[ids], 0.0)
-    total = np.concatenate(([0.0], np.cumsum(known)))
-    starts = np.arange(0, max(1, len(words) - PASSAGE + STRIDE), STRIDE)
-    ends = np.minimum(starts + PASSAGE, len(words))
-    best: dict[int, float] = {}
-    for k in np.flatnonzero(total[ends] - total[starts] >= index.least - 1e-6):  # a bound of the bounds: repeats count
-        s, e = int(starts[k]), int(ends[k])
-        found = np.unique(ids[s:e])
-        found = found[found >= 0]
-        if index.upper[found].sum() < index.least - 1e-9:
-            continue
-        for item, score in retrieve(index, found.tolist()):
-            best[item] = max(best.get(item, 0.0), score)
-    if not best:
-        return []
-    held = grams(words)
-    out = []
-    for item in sorted(best):
-        q, a = index.question[item], index.answer[item]
-        qs = len(q & held) / len(q)
-        as_ = len(a & held) / len(a) if a else 1.0
+    if not len(passage):
+        return
+    firsts = np.flatnonzero(np.diff(passage, prepend=-1))
+    bound = np.add.reduceat(index.block_max[terms], firsts, axis=0)
+    stands = bound * (1 + 1e-5) >= index.block_least
+    ends = np.append(firsts[1:], len(passage))
+    for k in np.flatnonzero(stands.any(axis=1)):
+        own = terms[firsts[k] : ends[k]]
+        for block in np.flatnonzero(stands[k]):
+            places = slice(block * BLOCK, (block + 1) * BLOCK)
+            score = index.impact[own, places].sum(axis=0)
+            for j in np.flatnonzero(score >= index.threshold[places] - 1e-9):
+                yield int(passage[firsts[k]]), int(block * BLOCK + j), float(score[j])
+
+
+def pairs_of(index: Index, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct (passage, term) pairs of known words, and the text of each passage."""
+    unknown, get = len(index.term), index.term.get
+    keys, owner, base = [], [], 0
+    for n, words in enumerate(texts):
+        count = max(1, -(-len(words) // CELL) - 1)
+        ids = np.fromiter((get(w, unknown) for w in words), dtype=np.int64, count=len(words))
+        at = np.flatnonzero(ids != unknown)
+        ids, cell = ids[at], at // CELL
+        last = cell < count
+        keys.append((base + cell[last]) * unknown + ids[last])
+        before = cell > 0
+        keys.append((base + cell[before] - 1) * unknown + ids[before])
+        owner.append(np.full(count, n))
+        base += count
+    key = np.unique(np.concatenate(keys)) if keys else np.empty(0, dtype=np.int64)
+    return key // unknown, key % unknown, np.concatenate(owner) if owner else np.empty(0, dtype=np.int64)
+
+
+def leaks(index: Index, texts: list[list[str]]) -> list[list[tuple[int, float, float, float]]]:
+    """For each text's words, (item id, best score, question share, answer share) of the items that it holds."""
+    out: list[list[tuple[int, float, float, float]]] = [[] for _ in texts]
+    passage, terms, owner = pairs_of(index, texts)
+    best: dict[tuple[int, int], float] = {}
+    for p, place, score in retrieve(index, passage, terms):
+        at = (int(owner[p]), place)
+        best[at] = max(best.get(at, 0.0), score)
+    held: dict[int, set] = {}
+    for (n, place), score in sorted(best.items()):
+        mine = held.setdefault(n, grams(texts[n]))
+        q, a = index.question[place], index.answer[place]
+        qs, as_ = len(q & mine) / len(q), len(a & mine) / len(a) if a else 1.0
         if qs >= QUESTION and as_ >= ANSWER:
-            out.append((index.items[item], best[item], qs, as_ if a else 0.0))
+            out[n].append((index.items[place], score, qs, as_))
     return out
 
 
-def indexes(benchmark: DataFrame, share: float = SHARE, most_words: int = INDEX_WORDS) -> Iterator[Index]:
-    """Indexes of blocks of the stated test set, none of more words than the bound unless one item alone is."""
+def indexes(benchmark: DataFrame, share: float = SHARE) -> Iterator[list[Index]]:
+    """Indexes over blocks of the stated test set, a bounded number of items at a time."""
     block: list[tuple[int, list[str]]] = []
-    held = 0
+    held: list[Index | None] = []
     for row in benchmark.select("item_id", "text").where("item_id is not null").distinct().orderBy("item_id", "text").toLocalIterator():
-        words = words_of(row["text"])
-        if block and held + len(words) > most_words:
-            yield build(block, share)
-            block, held = [], 0
-        block.append((row["item_id"], words))
-        held += len(words)
-    if block:
-        yield build(block, share)
+        block.append((row["item_id"], words_of(row["text"])))
+        if len(block) == INDEX_ITEMS:
+            held.append(build(block, share))
+            block = []
+        if len(held) * INDEX_ITEMS >= PASS_ITEMS:
+            yield [x for x in held if x]
+            held = []
+    held.append(build(block, share))
+    if last := [x for x in held if x]:
+        yield last
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -195,11 +178,22 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, id_c
     blocks of bounded size, one pass over the documents a block; documents are not shuffled.
     """
     out = None
-    for index in indexes(benchmark, share):
-        sent = docs.sparkSession.sparkContext.broadcast(index)
+    for some in indexes(benchmark, share):
+        sent = docs.sparkSession.sparkContext.broadcast(some)
 
         def make(sent=sent) -> Callable[[list[str]], dict[str, list]]:
-            return lambda texts: {"hits": [[{"item_id": i, "score": s, "question_share": q, "answer_share": a} for i, s, q, a in leaks(sent.value, t)] for t in texts]}
+            def run(texts: list[str]) -> dict[str, list]:
+                hits: list[list[dict]] = []
+                for at in range(0, len(texts), 64):
+                    words = [words_of(t) for t in texts[at : at + 64]]
+                    each: list[list[dict]] = [[] for _ in words]
+                    for index in sent.value:
+                        for mine, found in zip(each, leaks(index, words), strict=True):
+                            mine += [{"item_id": i, "score": s, "question_share": q, "answer_share": a} for i, s, q, a in found]
+                    hits += each
+                return {"hits": hits}
+
+            return run
 
         hits = map_texts(docs, make, "hits array<struct<item_id:bigint,score:double,question_share:double,answer_share:double>>", id_col, text_col)
         found = hits.select("doc_id", F.explode("hits").alias("h")).select("doc_id", "h.*")

@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, host_reputation
+from . import bpe, decontaminate, exact_dedup, host_reputation, language_id, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op5_simhash": simhash.op5_simhash,
     "op6_byte_bpe": bpe.op6_byte_bpe,
+    "op7_decontaminate": decontaminate.op7_decontaminate,
+    "op8_language_id": language_id.op8_language_id,
     "op9_host_reputation": host_reputation.op9_host_reputation,
 }
 ORACLE_SQL: dict[str, str] = {
