@@ -41,6 +41,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def dealt_anew(col: Column) -> Column:
+    """The same value as an expression of its own, so that a join deals an aggregate's rows again.
+
+    Without that both sides keep the aggregate's partitioning and Spark can't split the other side's hot keys.
+    """
+    return F.greatest(col, col)
+
+
 def small_side(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast if the counted rows allow it, else leave the join to shuffle."""
     return F.broadcast(df) if rows <= most else df

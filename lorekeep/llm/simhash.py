@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, map_texts, small_side, table
+from .common import cut, dealt_anew, map_texts, small_side, table
 from .components import components
 
 SEED = 42
@@ -57,33 +57,44 @@ def fingerprints(docs: DataFrame, words: int, id_col: str = "doc_id", text_col:
     return map_texts(docs, make, "fp long", id_col, text_col)
 
 
+def segments(bits: int) -> list[tuple[int, int]]:
+    """bits // 2 + 1 segments: of two fingerprints that differ in `bits` bits, one differs in at most one bit."""
+    n = bits // 2 + 1
+    cuts = [BITS * k // n for k in range(n + 1)]
+    return list(zip(cuts, cuts[1:], strict=False))
+
+
 def variant_keys(fp: Column, bits: int) -> Column:
-    """One key for each wildcard: the segment that holds the bit, without it, and the bit's number.
+    """(bit, rest) for each wildcard: the segment that holds the bit, without it.
 
-    With `bits` differing bits, one of bits // 2 + 1 segments has at most one of them, so two such fingerprints share
-    a key: any wildcard of that segment if it is equal, else the wildcard at the bit that differs.
+    Two fingerprints share a key at any wildcard of a segment in which they are equal, and at the bit that differs of
+    one in which a single bit does.
     """
-    n = bits // 2 + 1
-    cuts = [BITS * k // n for k in range(n + 1)]
     keys = []
-    for lo, hi in zip(cuts, cuts[1:], strict=False):
-        segment = F.shiftrightunsigned(fp, lo).bitwiseAND(F.lit(signed(2 ** (hi - lo) - 1)))
-        for bit in range(lo, hi):
-            rest = segment.bitwiseAND(F.lit(signed(2**64 - 1 - 2 ** (bit - lo))))
-            keys.append(F.lit(bit * 2**32).bitwiseXOR(rest) if hi - lo <= 32 else F.xxhash64(F.lit(bit), rest))
+    for lo, hi in segments(bits):
+        segment = fp.bitwiseAND(F.lit(signed(2**hi - 2**lo)))
+        keys += [F.struct(F.lit(bit).alias("bit"), segment.bitwiseAND(F.lit(signed(2**64 - 1 - 2**bit))).alias("rest")) for bit in range(lo, hi)]
     return F.array(*keys)
 
 
 def fingerprint_links(fps: DataFrame, bits: int) -> DataFrame:
     """Pairs a < b of distinct fingerprints (column fp) that differ in at most `bits` bits, each once.
 
-    The signature join is an equality join that checks the distance as it goes: only links leave it. Both sides are
-    one exchange of 16 bytes a key, and hot keys are split by Spark. bits is 0 to 60.
+    The signature join is an equality join that checks the distance as it goes, and takes a pair only at its first
+    shared key (the first segment that differs by at most one bit; its first wildcard if it is equal): only links
+    leave the join, each once. Spark splits its hot keys. bits is 0 to 60.
     """
-    keyed = fps.select("fp", F.explode(variant_keys(F.col("fp"), bits)).alias("key"))
-    a, b = keyed.select("key", F.col("fp").alias("a")), keyed.select("key", F.col("fp").alias("b"))
-    near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits)
-    return a.join(b.hint("merge"), (a["key"] == b["key"]) & near).select("a", "b").distinct()
+    keyed = fps.select("fp", F.explode(variant_keys(F.col("fp"), bits)).alias("k")).select("fp", "k.*")
+    a, b = keyed.withColumnRenamed("fp", "a"), keyed.withColumnRenamed("fp", "b")
+    differ = F.col("a").bitwiseXOR(F.col("b"))
+    near = (F.col("a") < F.col("b")) & (F.bit_count(differ) <= bits)
+    first, earlier = F.lit(False), F.lit(True)
+    for lo, hi in segments(bits):
+        here = differ.bitwiseAND(F.lit(signed(2**hi - 2**lo)))
+        first = first | (a["bit"].between(lo, hi - 1) & earlier & ((here != 0) | (a["bit"] == lo)))
+        earlier = earlier & (F.bit_count(here) > 1)
+    on = (a["bit"] == b["bit"]) & (a["rest"] == b["rest"]) & near & first
+    return a.join(b.hint("merge"), on).select("a", "b")
 
 
 def simhash_components(docs: DataFrame, words: int = 4, bits: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -101,7 +112,7 @@ def simhash_components(docs: DataFrame, words: int = 4, bits: int = 4, id_col: s
     named = classes.join(of, classes["fp"] == of["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     member = named.select("fp", "component").join(least, "component").select("fp", "component_id")
-    return rows.join(member, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return rows.join(member.withColumn("fp", dealt_anew(F.col("fp"))), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
