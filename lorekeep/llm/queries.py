@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, exact_dedup, host_reputation, language_id, pii, simhash, toxicity
+from . import bpe, chat_tree, decontaminate, exact_dedup, host_reputation, language_id, pii, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_personal_data": pii.op1_personal_data,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op4_chat_tree": chat_tree.op4_chat_tree,
     "op5_simhash": simhash.op5_simhash,
     "op6_byte_bpe": bpe.op6_byte_bpe,
     "op7_decontaminate": decontaminate.op7_decontaminate,
