@@ -41,6 +41,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder, which driver and executors share."""
+    use_checkpoints(spark)
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
 def dealt_anew(col: Column) -> Column:
     """The same value as an expression of its own, so that a join deals an aggregate's rows again.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, small_side, table, text_of
+from .common import cut, dealt_anew, small_side, table, text_of
 
 PREFIX = 96
 #: Candidate (length, prefix hash) pairs that are broadcast at most, of 16 bytes each.
@@ -58,6 +58,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .agg(F.count("*").alias("_size"), F.max_by(F.col(id_col), order).alias("_keep"))
         .where("_size > 1")
     )
+    # a key of its own expression: the groups are dealt anew, and Spark can then split the hot keys of the documents
+    groups = groups.withColumn("_key", dealt_anew(F.col("_key")))
     keyed = full.withColumn("_key", F.when(F.col("_again"), F.col("_full")).otherwise(F.concat(F.lit("alone "), F.xxhash64(F.col(id_col)).cast("string"))))
     out = keyed.drop("_norm").join(groups, "_key", "left")
     return out.select(

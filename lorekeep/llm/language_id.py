@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, map_texts, table
+from .common import crc_mod, map_texts, table, text_of
 
 WINDOW = 192
 #: Filters of each width, and the size of a byte's vector.
@@ -184,6 +185,18 @@ def identify(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_
     return map_texts(docs, make, "lang_pred string, score double", id_col, text_col)
 
 
+def keep_identified(docs: DataFrame, net: Network | None, floor: float, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with their columns, whose text has a language at a score of floor or more; `und` goes."""
+
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in texts:
+            langs, scores = predict(net, batch.tolist())
+            yield pd.DataFrame({"lang": langs, "score": scores})
+
+    made = F.pandas_udf(run, "lang string, score double")(text_of(text_col))
+    return docs.withColumn("_found", made).where((F.col("_found.lang") != "und") & (F.col("_found.score") >= floor)).select(*docs.columns)
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     net = fit(docs, crc_mod("doc_id", 4) != 2)

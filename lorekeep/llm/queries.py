@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat_tree, decontaminate, exact_dedup, host_reputation, language_id, pii, simhash, toxicity
+from . import bpe, chat_tree, decontaminate, exact_dedup, host_reputation, language_id, lm_score, pii, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_personal_data": pii.op1_personal_data,
@@ -18,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_language_id": language_id.op8_language_id,
     "op9_host_reputation": host_reputation.op9_host_reputation,
+    "op10_lm_score": lm_score.op10_lm_score,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_exact_dedup": exact_dedup.SQL,
