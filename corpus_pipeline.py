@@ -1,7 +1,72 @@
-"""Corpus pipeline over documents."""
-STAGES = []
+"""The corpus pipeline: language, exact copies, near copies, benchmark passages, tokens.
+
+Each stage takes (spark, docs, sf_dir), works on every row that its predecessor kept and returns a DataFrame, which is
+written as Parquet and read again as the next one's docs. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+import uuid
+from collections.abc import Callable
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lorekeep.llm import bpe, decontaminate, exact_dedup, language_id, simhash
+from lorekeep.llm.common import shared_folder, table
+
+#: A document goes if no language reaches this probability; four equal ones have 0.25 each.
+LANGUAGE_FLOOR = 0.35
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or with no language above the floor, go. The network is fit on the docs' own labels."""
+    return language_id.keep_identified(docs, language_id.fit(docs), LANGUAGE_FLOOR)
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts equal without white space one stays."""
+    return exact_dedup.exact_dedup(docs).where("kept").select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates (five-word shingles, similarity 0.8) the smallest id stays."""
+    return simhash.near_dedup(docs, words=5, similarity=0.8)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with their token ids, how many they are, and whether decoding gives the text's bytes again."""
+    vocabulary = public_tokenizers.path(bpe.VOCABULARY)
+    ids = bpe.encode_documents(docs, vocabulary)
+    whole = bpe.decode_documents(ids, vocabulary)
+    same = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
+    return whole.select(*docs.columns, F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", identify_language),
+    ("exact_dedup", drop_copies),
+    ("simhash_near_dedup", drop_near_copies),
+    ("decontamination", drop_leaks),
+    ("byte_bpe", tokenize),
+]
+#: Trained networks and token ids are beyond SQL; tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of sf_dir, with what each keeps written to the shared folder in between."""
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs.write.parquet(f"{folder}/{k}")
+            docs = spark.read.parquet(f"{folder}/{k}")
+    return docs
