@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.lineage import settle as cut
+from ..operators.lineage import use_checkpoints
+
+__all__ = ["BROADCAST_ROWS", "crc_mod", "cut", "dealt_anew", "map_texts", "shared_folder", "small_side", "table", "text_of"]
+
 #: Rows that a side may have at most to be broadcast; counted before, never guessed.
 BROADCAST_ROWS = 200_000
 
@@ -27,20 +31,6 @@ def crc_mod(col: str, n: int) -> Column:
     return F.crc32(F.col(col).cast("string").cast("binary")) % n
 
 
-def use_checkpoints(spark: SparkSession) -> None:
-    """Set the checkpoint folder the cluster names; a temporary one only where none is named (tests)."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared checkpoint folder: lineage ends, lost executors cost nothing."""
-    use_checkpoints(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder, which driver and executors share."""
     use_checkpoints(spark)
