@@ -81,3 +81,16 @@ def journal(spark: SparkSession, d: str) -> DataFrame:
 def turns(spark: SparkSession, d: str) -> DataFrame:
     """(session, line, role, content) from conversations; line counts from 1."""
     return table(spark, d, "conversations").select(F.col("conv_id").alias("session"), (F.col("turn") + 1).alias("line"), "role", F.coalesce("text", F.lit("")).alias("content"))
+
+
+#: Words put before turns, by session and line, so that the cues of the extractors occur in invented prose. Fixed values.
+PHRASES = (
+    "We decided to use the new tool because it is fast. ", "It must have a deadline and a legal review. ", "I am blocked by the missing access, it is urgent. ", "Please continue with the next step, you should. ",
+    "Yes, that is ok, the fix is done. ", "Create a script and make the report. ", "Perhaps an alternative design instead, the system context is a problem. ", "",
+)
+
+
+def spiced_turns(spark: SparkSession, d: str) -> DataFrame:
+    """The turns with a phrase before each."""
+    phrase = F.get(F.array(*map(F.lit, PHRASES)), ((F.col("session") + F.col("line")) % len(PHRASES)).cast("int"))
+    return turns(spark, d).withColumn("content", F.concat(phrase, "content"))
