@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,15 +12,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, dealt_anew, table
 
 #: Control strings of the template, escaped inside texts.
 CONTROL = ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 _BREAK = re.compile(r"<(?=/?s>|</?SYS>>)|\[(?=/?INST\])")
 _UNESCAPE = re.compile(r"\\(.)", re.S)
 _SAYS = {"\\": "\\", "e": "", "n": "\n"}
-#: Bytes of a turn's hash in a path.
-STEP = 16
 
 
 def escape(text: str) -> str:
@@ -63,62 +61,114 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     return out
 
 
-def _turns(conversations: DataFrame) -> DataFrame:
-    """One row a conversation: its turns in order; ties of a turn number go by role, then text."""
-    said = F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return conversations.groupBy(F.col("conv_id").cast("long").alias("conv_id")).agg(F.array_sort(F.collect_list(said)).alias("turns"))
+def _walked(rows: DataFrame, order: tuple[str, ...], step: Callable[[], Callable[[tuple], list[tuple]]], schema: str) -> DataFrame:
+    """Rows of a conversation come to one task in order, and step() sees them one at a time; nothing is held but its state.
 
+    The first column is conv_id. step() is made anew for each conversation; called with None it has seen the last row.
+    """
+    target = rows.sparkSession.createDataFrame([], schema).schema
 
-_STEP = "node binary, parent binary, depth int, path binary, role string, piece string, loss_start int, loss_end int"
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
 
+        arrow = to_arrow_schema(target)
+        now, see, out = (), None, []
 
-def _steps(convs: DataFrame) -> DataFrame:
-    """conv_id and the steps of its walk down the tree: a step's node is the hash of all turns so far."""
+        def emit() -> pa.RecordBatch:
+            cols = list(zip(*out, strict=True)) if out else [[] for _ in arrow]
+            made = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
+            out.clear()
+            return made
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            every = []
-            for turns in batch.column(1).to_pylist():
-                steps, parent, path = [], b"", b""
-                for depth, t in enumerate(turns):
-                    role, text = t["role"].encode("utf-8", "surrogatepass"), t["text"].encode("utf-8", "surrogatepass")
-                    node = xxhash.xxh3_128_digest(parent + len(role).to_bytes(8, "big") + role + text)
-                    path += node[: STEP // 2]
-                    piece, lo, hi = render(t["role"], t["text"])
-                    steps.append({"node": node, "parent": parent, "depth": depth, "path": path, "role": t["role"], "piece": piece, "loss_start": lo, "loss_end": hi})
-                    parent = node
-                every.append(steps)
-            kind = pa.list_(pa.struct([("node", pa.binary()), ("parent", pa.binary()), ("depth", pa.int32()), ("path", pa.binary()), ("role", pa.string()), ("piece", pa.string()), ("loss_start", pa.int32()), ("loss_end", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(every, type=kind)], names=["conv_id", "steps"])
-
-    fields = ",".join(f"{x.split()[0]}:{x.split()[1]}" for x in _STEP.split(", "))
-    return convs.mapInArrow(run, f"conv_id long, steps array<struct<{fields}>>")
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if now != (row[0],):
+                    if see is not None:
+                        out += see(None)
+                    now, see = (row[0],), step()
+                out += see(row)
+            if out:
+                yield emit()
+        if see is not None:
+            out += see(None)
+        if out:
+            yield emit()
+
+    return rows.repartition("conv_id").sortWithinPartitions("conv_id", *order).mapInArrow(run, target)
+
+
+def _steps(conversations: DataFrame) -> DataFrame:
+    """A row a turn: conv_id, i, the node (the hash of all turns so far), its parent and the formatted piece."""
+    said = conversations.select(
+        F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
+        F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
+    )
+
+    def step() -> Callable[[tuple | None], list[tuple]]:
+        parent, i = b"", 0
+
+        def see(row: tuple | None) -> list[tuple]:
+            nonlocal parent, i
+            if row is None:
+                return []
+            conv, _, role, text = row
+            name, data = role.encode("utf-8", "surrogatepass"), text.encode("utf-8", "surrogatepass")
+            node = xxhash.xxh3_128_digest(parent + len(name).to_bytes(8, "big") + name + data)
+            out = (conv, i, node, parent, role, *render(role, text))
+            parent, i = node, i + 1
+            return [out]
+
+        return see
+
+    return _walked(said, ("turn", "role", "text"), step, "conv_id long, i int, node binary, parent binary, role string, piece string, loss_start int, loss_end int")
 
 
 def prefix_tree(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(stream, walks).
 
-    stream has a row for each distinct prefix of turns, in depth-first order: node, parent, depth, role, piece (its
+    stream has a row for each distinct prefix of turns, in depth-first order: node, parent, role, piece (its
     characters, the tokens here), start and end (its place in the one stream of all trees), position (the id of its
     first token: the length of all ancestors), loss_start and loss_end (inside piece), attention (the intervals of
     the stream that its tokens attend to besides themselves: its ancestors, touching ones merged), conversations (how
-    many walk through). walks has conv_id and its nodes from the root on.
+    many walk through). walks has conv_id, i and node, the steps from the root on.
+
+    Turns of equal number go by role, then text. A null text or role is empty; rows without conv_id are one
+    conversation; an empty table gives an empty stream.
 
-    Nodes are summed map-side, so a first turn that a third of all conversations share is one row a task. Depth-first
-    order is the order of paths; the stream's offsets are sums within range partitions plus one base for each, so
-    no tree is held by one task. A null text or role is empty; an empty table gives an empty stream.
+    Nodes are summed map-side, so a first turn that a third of all conversations share is one row a task, and the
+    joins back to it are split by Spark. A conversation is read as a sorted stream, never collected. The depth-first
+    key of a node is the way through the places where conversations part, not through every turn, so a long
+    conversation has short keys. Offsets are sums within range partitions plus one base for each, so no tree is
+    held by one task.
     """
-    steps = cut(_steps(_turns(conversations)))
-    walks = steps.select("conv_id", F.col("steps.node").alias("nodes"))
-    each = steps.select(F.explode("steps").alias("s")).select("s.*")
-    firsts = [F.first(c).alias(c) for c in ("parent", "depth", "path", "role", "piece", "loss_start", "loss_end")]
-    nodes = cut(each.groupBy("node").agg(*firsts, F.count("*").alias("conversations")))
+    steps = cut(_steps(conversations))
+    walks = steps.select("conv_id", "i", "node")
+    firsts = [F.first(c).alias(c) for c in ("parent", "role", "piece", "loss_start", "loss_end")]
+    nodes = cut(steps.groupBy("node").agg(*firsts, F.count("*").alias("conversations"), F.min("conv_id").alias("owner")))
+    known = nodes.select(dealt_anew(F.col("node")).alias("node"), F.length("piece").alias("size"), "conversations", "owner")
+
+    def key_step() -> Callable[[tuple | None], list[tuple]]:
+        path, through, at = b"", None, 0
+
+        def see(row: tuple | None) -> list[tuple]:
+            nonlocal path, through, at
+            if row is None:
+                return []
+            conv, i, node, size, many, owner = row
+            if many != through:  # some part here: a new branch begins
+                path, through = path + b"\x01" + node[:8], many
+            out = [(node, path + b"\x00" + i.to_bytes(4, "big"), at, size)] if conv == owner else []
+            at += size
+            return out
+
+        return see
+
+    keyed = _walked(walks.join(known, "node").select("conv_id", "i", "node", "size", "conversations", "owner"), ("i",), key_step, "node binary, key binary, position long, size int")
     n = max(1, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ordered = cut(nodes.repartitionByRange(n, "path").sortWithinPartitions("path").withColumn("part", F.spark_partition_id()))
-    lengths = ordered.groupBy("part").agg(F.sum(F.length("piece")).alias("n")).collect()  # a number for each partition
-    base, at = {}, 0
-    for row in sorted(lengths, key=lambda r: r["part"]):
-        base[row["part"]], at = at, at + row["n"]
+    ordered = cut(cut(keyed).repartitionByRange(n, "key").sortWithinPartitions("key").withColumn("part", F.spark_partition_id()))
+    base, total = {}, 0
+    for row in sorted(ordered.groupBy("part").agg(F.sum("size").alias("n")).collect(), key=lambda r: r["part"]):  # a number for each partition
+        base[row["part"]], total = total, total + row["n"]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here = None
@@ -128,55 +178,63 @@ def prefix_tree(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
             here = base[batch.column(1)[0].as_py()] if here is None else here
             sizes = np.array(batch.column(2), dtype=np.int64)
             ends = here + np.cumsum(sizes)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ends - sizes), pa.array(ends)], names=["node", "start", "end"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ends - sizes), pa.array(ends), batch.column(3)], names=["node", "start", "end", "position"])
             here = int(ends[-1])
 
-    placed = cut(ordered.select("node", "part", F.length("piece").alias("size")).mapInArrow(place, "node binary, start long, end long"))
-    # every distinct prefix with its ancestors: those of one walk that passes through it
-    walk = steps.select(F.explode(F.expr("transform(sequence(0, size(steps) - 1), i -> named_struct('node', steps[i].node, 'up', slice(steps.node, 1, i)))")).alias("w")).select("w.*")
-    ups = walk.where(F.size("up") > 0).groupBy("node").agg(F.first("up").alias("up")).select("node", F.explode("up").alias("u"))
-    spans = ups.join(placed.select(F.col("node").alias("u"), "start", "end"), "u").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("up"))
-    merged = F.expr(
-        """aggregate(up, cast(array() as array<struct<start:bigint,end:bigint>>), (acc, x) ->
-             if(size(acc) > 0 and element_at(acc, -1).end = x.start,
-                concat(slice(acc, 1, size(acc) - 1), array(named_struct('start', element_at(acc, -1).start, 'end', x.end))),
-                concat(acc, array(named_struct('start', x.start, 'end', x.end)))))"""
-    )
-    position = F.expr("aggregate(up, 0L, (acc, x) -> acc + x.end - x.start)")
-    attention = spans.select("node", position.alias("position"), merged.alias("attention"))
-    stream = (
-        nodes.join(placed, "node").join(attention, "node", "left")
-        .select("node", "parent", "depth", "role", "piece", "start", "end", F.coalesce("position", F.lit(0)).cast("long").alias("position"), "loss_start", "loss_end", F.coalesce("attention", F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)")).alias("attention"), "conversations")
-    )
-    return stream, walks
+    placed = cut(ordered.select("node", "part", "size", "position").mapInArrow(place, "node binary, start long, end long, position long"))
+
+    def attention_step() -> Callable[[tuple | None], list[tuple]]:
+        spans: list[dict[str, int]] = []
+
+        def see(row: tuple | None) -> list[tuple]:
+            if row is None:
+                return []
+            conv, _, node, start, end, owner = row
+            out = [(node, [dict(s) for s in spans])] if conv == owner else []
+            if spans and spans[-1]["end"] == start:
+                spans[-1]["end"] = end
+            else:
+                spans.append({"start": start, "end": end})
+            return out
+
+        return see
+
+    spans = walks.join(placed.select("node", "start", "end"), "node").join(known.select("node", "owner"), "node").select("conv_id", "i", "node", "start", "end", "owner")
+    attention = _walked(spans, ("i",), attention_step, "node binary, attention array<struct<start:bigint,end:bigint>>")
+    return nodes.drop("owner").join(placed, "node").join(attention, "node"), walks
 
 
 def read_back(stream: DataFrame, walks: DataFrame) -> DataFrame:
     """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, positions_ok, from the emitted stream.
 
-    A conversation is its nodes' pieces in order of their position ids; positions_ok says that they touch and that the
-    last node's attention covers just the others.
+    A conversation is its nodes' pieces by position id; positions_ok says that they touch and that each attends to just
+    as many tokens as stand before it.
     """
-    steps = walks.select("conv_id", F.explode("nodes").alias("node"))
-    piece = stream.select("node", F.struct("position", "piece", "loss_start", "loss_end", "start", "end", "attention").alias("s"))
-    convs = steps.join(piece, "node").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("s.position", "s.piece", "s.loss_start", "s.loss_end", "s.start", "s.end", "s.attention"))).alias("steps"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for steps in batch.column(1).to_pylist():
-                formatted = "".join(s["piece"] for s in steps)
-                turns = parse(formatted)
-                loss = "".join(unescape(s["piece"][s["loss_start"] : s["loss_end"]]) for s in steps)
-                seen = sum(a["end"] - a["start"] for a in steps[-1]["attention"])
-                ok = all(a["position"] + len(a["piece"]) == b["position"] for a, b in zip(steps, steps[1:], strict=False)) and seen == steps[-1]["position"]
-                digest = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
-                rows.append((len(turns), digest("".join(f"{r}\n{t}\n" for r, t in turns)), len(loss), digest(loss), len(formatted), ok))
-            made = list(zip(*rows, strict=True)) if rows else [[]] * 6
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(m, k) for m, k in zip(made, kinds, strict=True))], names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "positions_ok"])
-
-    return convs.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, positions_ok boolean")
+    pieces = stream.select("node", "position", "piece", "loss_start", "loss_end", F.expr("aggregate(attention, 0L, (a, x) -> a + x.end - x.start)").alias("seen"))
+
+    def step() -> Callable[[tuple | None], list[tuple]]:
+        turns, loss = hashlib.sha256(), hashlib.sha256()
+        n, lost, at, ok, conv = 0, 0, 0, True, None
+
+        def see(row: tuple | None) -> list[tuple]:
+            nonlocal n, lost, at, ok, conv
+            if row is None:
+                return [(conv, n, turns.hexdigest(), lost, loss.hexdigest(), at, ok)]
+            conv, _, position, piece, lo, hi, seen = row
+            for role, text in parse(piece):
+                turns.update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
+                n += 1
+            said = unescape(piece[lo:hi])
+            loss.update(said.encode("utf-8", "surrogatepass"))
+            lost += len(said)
+            ok = ok and position == at == seen
+            at += len(piece)
+            return []
+
+        return see
+
+    rows = walks.join(pieces, "node").select("conv_id", "i", "position", "piece", "loss_start", "loss_end", "seen")
+    return _walked(rows, ("i",), step, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, positions_ok boolean")
 
 
 def with_probe(conversations: DataFrame) -> DataFrame:
