@@ -13,7 +13,10 @@ from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
 
-W = Window.partitionBy("session").orderBy("line")
+
+def units_in_order():
+    """A session's units in order, for windows that count units."""
+    return Window.partitionBy("session").orderBy("line")
 
 
 def cut_bytes(s: Column, most: int) -> Column:
@@ -54,8 +57,8 @@ def decisions(units: DataFrame) -> DataFrame:
     user = F.when(F.col("role") == "user", cut_bytes(F.col("content"), 200))
     other = F.when(holds(low, V.ALTERNATIVES), cut_bytes(F.col("content"), 200))
     seen = _low(units).select(
-        "*", (F.max(confirm).over(W.rowsBetween(0, 9)) == 1).alias("confirmed"), F.last(reason, True).over(W.rowsBetween(-2, 0)).alias("rationale"),
-        F.last(user, True).over(W.rowsBetween(Window.unboundedPreceding, -1)).alias("trigger"), F.collect_list(other).over(W.rowsBetween(-3, 2)).alias("alternatives"),
+        "*", (F.max(confirm).over(units_in_order().rowsBetween(0, 9)) == 1).alias("confirmed"), F.last(reason, True).over(units_in_order().rowsBetween(-2, 0)).alias("rationale"),
+        F.last(user, True).over(units_in_order().rowsBetween(Window.unboundedPreceding, -1)).alias("trigger"), F.collect_list(other).over(units_in_order().rowsBetween(-3, 2)).alias("alternatives"),
         first_of(low, V.DECISIONS, 0).alias("marker"), first_of(low, V.DECISIONS).alias("category"),
     )
     said = seen.where((F.col("role") == "assistant") & F.col("marker").isNotNull() & holds(low, V.DECIDES) & ~holds(low, V.ASKS))
@@ -74,7 +77,7 @@ def blockers(units: DataFrame, failures: DataFrame | None = None) -> DataFrame:
     A blocker is resolved if one of the fifteen units from it on says so.
     """
     low = F.col("low")
-    seen = _low(units).select("*", (F.max(F.when(holds(low, V.RESOLVES), 1).otherwise(0)).over(W.rowsBetween(0, 14)) == 1).alias("resolved"), first_of(low, V.BLOCKERS).alias("category"))
+    seen = _low(units).select("*", (F.max(F.when(holds(low, V.RESOLVES), 1).otherwise(0)).over(units_in_order().rowsBetween(0, 14)) == 1).alias("resolved"), first_of(low, V.BLOCKERS).alias("category"))
     said = seen.where(F.col("category").isNotNull() & holds(low, V.BLOCKS)).select(
         "session", "line", "category", cut_bytes(F.col("content"), 300).alias("description"), "resolved", severity(low, F.col("category")).alias("severity")
     )
@@ -116,7 +119,7 @@ def handoffs(units: DataFrame, last: int = 80) -> DataFrame:
 
 def narrative(units: DataFrame) -> DataFrame:
     """(session, slot, line, section): where each slot first opens, and what is said from there on, by its number of units."""
-    numbered = _low(units).withColumn("n", F.row_number().over(W))
+    numbered = _low(units).withColumn("n", F.row_number().over(units_in_order()))
     opens = None
     for slot, (role, size, markers) in V.NARRATIVE.items():
         hit = holds(F.col("low"), markers) & (F.col("role") == role if role else F.lit(True))

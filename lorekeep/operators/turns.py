@@ -7,14 +7,17 @@ from pyspark.sql import functions as F
 
 from ..functions.text import is_empty_search
 
-BY_SESSION = Window.partitionBy("session").orderBy("line")
+
+def by_session():
+    """A session's rows in order."""
+    return Window.partitionBy("session").orderBy("line")
 
 
 def page(turns: DataFrame, offset: int, limit: int) -> DataFrame:
     """Each session's rows after offset, limit of them (1 to 100), with next_offset: the last line shown if more follow, else null."""
     if not 1 <= limit <= 100:
         raise ValueError("limit is 1 to 100")
-    later = turns.where(F.col("line") > offset).withColumn("n", F.row_number().over(BY_SESSION)).where(F.col("n") <= limit + 1)
+    later = turns.where(F.col("line") > offset).withColumn("n", F.row_number().over(by_session())).where(F.col("n") <= limit + 1)
     whole = Window.partitionBy("session")
     return (
         later.withColumn("more", F.max("n").over(whole) > limit).where(F.col("n") <= limit)
@@ -35,8 +38,8 @@ def tail(turns: DataFrame, lines: int = 200) -> DataFrame:
 
 def bounded_scan(turns: DataFrame, most_bytes: int, most_records: int) -> DataFrame:
     """Each session's first records within both bounds, with the bytes so far."""
-    w = BY_SESSION.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sized = turns.withColumn("bytes", F.sum(F.octet_length("content")).over(w)).withColumn("n", F.row_number().over(BY_SESSION))
+    w = by_session().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sized = turns.withColumn("bytes", F.sum(F.octet_length("content")).over(w)).withColumn("n", F.row_number().over(by_session()))
     return sized.where((F.col("bytes") <= most_bytes) & (F.col("n") <= most_records)).drop("n")
 
 
@@ -67,7 +70,7 @@ def line_ranges(lines: DataFrame, by: str = "session") -> DataFrame:
 
 def adjacent_dispatch(events: DataFrame) -> DataFrame:
     """(session, line, dispatch): results right after the dispatch that they answer; role is `tool_dispatch` or `tool`."""
-    before = F.lag(F.struct("role", "line")).over(BY_SESSION)
+    before = F.lag(F.struct("role", "line")).over(by_session())
     return events.withColumn("b", before).where((F.col("role") == "tool") & (F.col("b.role") == "tool_dispatch")).select("session", "line", F.col("b.line").alias("dispatch"))
 
 
