@@ -6,7 +6,9 @@ import math
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -29,8 +31,9 @@ CALIBRATE = 4_000
 _WORD = regex.compile(r"\p{L}+")
 
 
-def features_of(word: str) -> list[str]:
-    return [f"={word}", *{word[i : i + n] for n in PIECES for i in range(len(word) - n + 1)}]
+@lru_cache(maxsize=100_000)
+def features_of(word: str) -> tuple[str, ...]:
+    return (f"={word}", *{word[i : i + n] for n in PIECES for i in range(len(word) - n + 1)})
 
 
 def document_features(text: str) -> set[str]:
@@ -62,90 +65,102 @@ def count_features(rows: DataFrame) -> DataFrame:
 
 @dataclass
 class Model:
-    """Examples as an inverted index: by feature, places and weights in blocks, each with its largest weight."""
+    """Examples as an inverted index. A feature's entries, one for each block of examples that holds it, run from
+    entry[f] to entry[f + 1]: the block, the largest weight in it, and where its postings (place, weight) begin."""
 
     feature: dict[str, int]
     idf: np.ndarray
-    docs: list[np.ndarray]
-    weight: list[np.ndarray]
-    block: list[np.ndarray]
-    block_max: list[np.ndarray]
+    entry: np.ndarray
+    block: np.ndarray
+    block_max: np.ndarray
+    first: np.ndarray
+    place: np.ndarray
+    weight: np.ndarray
     label: np.ndarray
-    copies: np.ndarray
     ids: np.ndarray
     prior: float
     curve: tuple[np.ndarray, np.ndarray]
 
 
-def vector(feature: dict[str, int], idf: np.ndarray, text: str, cache: dict[str, tuple[int, ...]]) -> tuple[np.ndarray, np.ndarray]:
+def ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """All integers of the ranges, one range after another."""
+    sizes = ends - starts
+    before = np.cumsum(sizes) - sizes
+    return np.repeat(starts - before, sizes) + np.arange(sizes.sum())
+
+
+def matcher(feature: dict[str, int]) -> ahocorasick.Automaton | None:
+    """Finds all features of a text of words with single blanks around them in one pass; None without features."""
+    if not feature:
+        return None
+    out = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+    for name, k in feature.items():
+        out.add_word(f" {name[1:]} " if name[0] == "=" else name, k)
+    out.make_automaton()
+    return out
+
+
+def vector(find: ahocorasick.Automaton | None, idf: np.ndarray, text: str) -> tuple[np.ndarray, np.ndarray]:
     """Features of a whole text, in order, and their unit-length TF-IDF weights."""
-    tf: Counter = Counter()
-    get = feature.get
-    for word, n in Counter(_WORD.findall(text.lower())).items():
-        known = cache.get(word)
-        if known is None:
-            if len(cache) > 200_000:
-                cache.clear()
-            known = cache[word] = tuple(k for k in map(get, features_of(word)) if k is not None)
-        for k in known:
-            tf[k] += n
-    if not tf:
+    held = [k for _, k in find.iter(f" {' '.join(_WORD.findall(text.lower()))} ")] if find is not None else []
+    if not held:
         return np.empty(0, dtype=np.int64), np.empty(0)
-    keys = np.array(sorted(tf))
-    w = (1 + np.log(np.array([tf[k] for k in keys.tolist()], dtype=float))) * idf[keys]
+    keys, n = np.unique(np.array(held), return_counts=True)
+    w = (1 + np.log(n)) * idf[keys]
     return keys, w / math.sqrt(float(w @ w))
 
 
-def index_of(feature: dict[str, int], idf: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray, int, int, int]], prior: float) -> Model:
-    """vectors: features, weights, label, copies, id."""
-    posts: list[list[tuple[int, float]]] = [[] for _ in feature]
-    for place, (keys, weights, *_) in enumerate(vectors):
-        for k, w in zip(keys.tolist(), weights.tolist(), strict=True):
-            posts[k].append((place, w))
-    docs = [np.array([p for p, _ in x], dtype=np.int64) for x in posts]
-    weight = [np.array([w for _, w in x]) for x in posts]
-    block, block_max = [], []
-    for d, w in zip(docs, weight, strict=True):
-        b, first = np.unique(d // BLOCK, return_index=True)
-        block.append(b)
-        block_max.append(np.maximum.reduceat(w, first) if len(w) else w)
-    field = lambda k, t: np.array([v[k] for v in vectors], dtype=t)
-    return Model(feature, idf, docs, weight, block, block_max, field(2, np.int64), field(3, np.int64), field(4, np.int64), prior, (np.array([0.0, 1.0]), np.array([0.0, 1.0])))
+def index_of(feature: dict[str, int], idf: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray, int, int]], prior: float) -> Model:
+    """vectors: features, weights, label, id."""
+    sizes = [len(v[0]) for v in vectors]
+    keys = np.concatenate([v[0] for v in vectors]) if vectors else np.empty(0, dtype=np.int64)
+    weights = np.concatenate([v[1] for v in vectors]) if vectors else np.empty(0)
+    places = np.repeat(np.arange(len(vectors)), sizes)
+    order = np.lexsort((places, keys))
+    keys, places, weights = keys[order], places[order], weights[order]
+    blocks = max(1, -(-len(vectors) // BLOCK))
+    cell = keys * blocks + places // BLOCK
+    first = np.flatnonzero(np.diff(cell, prepend=-1))
+    most = np.maximum.reduceat(weights, first) if len(first) else weights
+    entry = np.searchsorted(cell[first] // blocks, np.arange(len(feature) + 1))
+    field = lambda k: np.array([v[k] for v in vectors], dtype=np.int64)
+    line = np.array([0.0, 1.0])
+    return Model(feature, idf, entry, cell[first] % blocks, most, np.append(first, len(cell)), places, weights, field(2), field(3), prior, (line, line))
 
 
 def nearest(model: Model, keys: np.ndarray, weights: np.ndarray, k: int = K, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
     """The k examples of largest exact cosine, ties to the smaller place, and the cosines; examples that share nothing are left out.
 
-    Blocks are visited by falling upper bound, the sum over features of query weight times block maximum, until the
-    bound falls under the k-th best cosine: what is left can't enter.
+    A block's upper bound is the sum over the query's features of query weight times block maximum. The blocks of
+    the largest bounds are scored first; then all whose bound reaches the k-th best cosine found: the rest can't
+    hold a better one.
     """
-    if not len(keys):
+    if not len(keys) or not len(model.label):
         return np.empty(0, dtype=np.int64), np.empty(0)
-    blocks = -(-len(model.label) // BLOCK)
-    bound = np.zeros(blocks)
-    for f, w in zip(keys.tolist(), weights.tolist(), strict=True):
-        bound[model.block[f]] += w * model.block_max[f]
-    order = np.argsort(-bound, kind="stable")
-    best_at, best = np.empty(0, dtype=np.int64), np.empty(0)
-    step = 4
-    for at in range(0, blocks, step):
-        some = order[at : at + step]
-        if bound[some[0]] <= 0 or (len(best) == k and bound[some[0]] < best[-1] - 1e-12):
-            break
-        score = np.zeros(step * BLOCK)
-        for f, w in zip(keys.tolist(), weights.tolist(), strict=True):
-            docs = model.docs[f]
-            for j, b in enumerate(some.tolist()):
-                lo, hi = np.searchsorted(docs, (b * BLOCK, (b + 1) * BLOCK))
-                score[j * BLOCK + docs[lo:hi] - b * BLOCK] += w * model.weight[f][lo:hi]
-        hit = np.flatnonzero(score > 0)
-        places = some[hit // BLOCK] * BLOCK + hit % BLOCK
+    begin, end = model.entry[keys], model.entry[keys + 1]
+    at, w = ranges(begin, end), np.repeat(weights, end - begin)
+    blocks = model.block[at]
+    bound = np.bincount(blocks, w * model.block_max[at], minlength=-(-len(model.label) // BLOCK))
+
+    def score(chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        mine = chosen[blocks]
+        a, b = model.first[at[mine]], model.first[at[mine] + 1]
+        posts = ranges(a, b)
+        cosine = np.bincount(model.place[posts], np.repeat(w[mine], b - a) * model.weight[posts], minlength=len(model.label))
         if without >= 0:
-            hit, places = hit[places != without], places[places != without]
-        best_at, best = np.concatenate((best_at, places)), np.concatenate((best, score[hit]))
-        keep = np.lexsort((best_at, -best.round(12)))[:k]
-        best_at, best = best_at[keep], best[keep]
-    return best_at, best
+            cosine[without] = 0.0
+        found = np.flatnonzero(cosine > 0)
+        if len(found) > 4 * k:  # ties of the k-th best stay
+            found = found[cosine[found] >= np.partition(cosine[found], -k)[-k] - 1e-9]
+        best = np.lexsort((found, -cosine[found].round(9)))[:k]
+        return found[best], cosine[found[best]]
+
+    first = np.zeros(len(bound), dtype=bool)
+    first[np.argpartition(-bound, min(2, len(bound) - 1))[:3]] = True
+    places, cosines = score(first)
+    least = cosines[-1] - 1e-9 if len(cosines) == k else 0.0
+    rest = bound >= max(least, 1e-300)
+    return score(rest | first) if (rest & ~first).any() else (places, cosines)
 
 
 def vote(model: Model, places: np.ndarray, cosines: np.ndarray) -> float:
@@ -179,7 +194,7 @@ def fit(docs: DataFrame, labels: DataFrame, where: Column | None = None, id_col:
     """Features from all labelled rows, then an index over a bounded sample of them; None without any label.
 
     The sample is the examples whose ids hash lowest, half of its places for each class. Examples of equal vectors
-    and labels are one, with a count.
+    and labels are one.
     """
     said = labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
     said = cut(said)
@@ -200,9 +215,9 @@ def fit(docs: DataFrame, labels: DataFrame, where: Column | None = None, id_col:
     hashed = rows.withColumn("h", F.xxhash64("doc_id", F.lit("example")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, tuple[int, ...]] = {}
+        find = matcher(feature)
         for batch in batches:
-            made = [vector(feature, idf, t, cache) for t in batch.column(2).to_pylist()]
+            made = [vector(find, idf, t) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), batch.column(3), pa.array([k.tolist() for k, _ in made], pa.list_(pa.int32())), pa.array([w.tolist() for _, w in made], pa.list_(pa.float64()))],
                 names=["h", "doc_id", "label", "keys", "weights"],
@@ -212,11 +227,11 @@ def fit(docs: DataFrame, labels: DataFrame, where: Column | None = None, id_col:
     got = []
     for label in (0, 1):
         got += vectors.where(F.col("label") == label).orderBy("h", "doc_id").limit(half).collect()
-    merged: dict[tuple, list] = {}
+    merged: dict[tuple, int] = {}
     for r in sorted(got, key=lambda r: (r["h"], r["doc_id"])):
         if r["keys"]:
-            merged.setdefault((tuple(r["keys"]), tuple(r["weights"]), r["label"]), [r["doc_id"], 0])[1] += 1
-    examples = [(np.array(k), np.array(w), y, c, i) for (k, w, y), (i, c) in merged.items()]
+            merged.setdefault((tuple(r["keys"]), tuple(r["weights"]), r["label"]), r["doc_id"])
+    examples = [(np.array(k), np.array(w), y, i) for (k, w, y), i in merged.items()]
     model = index_of(feature, idf, examples, pos / (pos + neg))
     x, y = [], []
     place = {key: at for at, key in enumerate(merged)}
@@ -229,11 +244,11 @@ def fit(docs: DataFrame, labels: DataFrame, where: Column | None = None, id_col:
     return model
 
 
-def score_text(model: Model | None, text: str, cache: dict[str, tuple[int, ...]], memo: dict[bytes, tuple]) -> tuple[float, list[int], list[float]]:
+def score_text(model: Model | None, text: str, find: ahocorasick.Automaton | None, memo: dict[bytes, tuple]) -> tuple[float, list[int], list[float]]:
     """Calibrated score, the ids of the examples that voted and their cosines."""
     if model is None:
         return 0.0, [], []
-    keys, weights = vector(model.feature, model.idf, text, cache)
+    keys, weights = vector(find, model.idf, text)
     key = keys.tobytes() + weights.tobytes()
     if key not in memo:
         if len(memo) > 20_000:
@@ -254,11 +269,11 @@ def score_documents(docs: DataFrame, model: Model | None, id_col: str = "doc_id"
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def make() -> Callable[[list[str]], dict[str, list]]:
-        cache: dict[str, tuple[int, ...]] = {}
+        find = matcher(sent.value.feature) if sent.value else None
         memo: dict[bytes, tuple] = {}
 
         def run(texts: list[str]) -> dict[str, list]:
-            made = [score_text(sent.value, t, cache, memo) for t in texts]
+            made = [score_text(sent.value, t, find, memo) for t in texts]
             return {"score": [m[0] for m in made], "evidence": [m[1] for m in made], "cosines": [m[2] for m in made]}
 
         return run
