@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,12 +42,12 @@ def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((mixed >> np.uint64(33)) % np.uint64(buckets)).astype(np.int64)
 
 
-_PACKED = "bucket int, salt int, kind int, keys binary, docs binary, counts binary, ids binary"
-_KINDS = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+_PACKED = "bucket int, salt int, kind int, pack long, keys binary, docs binary, counts binary, ids binary"
+_KINDS = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
+    cols = list(zip(*rows, strict=True)) if rows else [[]] * 8
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _KINDS, strict=True)], names=[x.split()[0] for x in _PACKED.split(", ")])
 
 
@@ -54,7 +55,8 @@ def explode_pairs(docs: DataFrame, vocabulary: str, buckets: int, salts: int, id
     """Packed rows: the documents' exploded token pairs by hash partition, summed in each document, and token counts.
 
     kind 1: distinct pairs of a pack of documents, each with its documents and how often they hold it. kind 2, bucket
-    -1: how often the pack holds each token; docs then has each document's first token, or -1, and counts its length.
+    -1: the pack itself, with its ids; how often it holds each token, each document's first token, or -1, and length.
+    A pack's number is a hash of its ids: packs of the same ids add up like rows of the same id.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,7 +74,9 @@ def explode_pairs(docs: DataFrame, vocabulary: str, buckets: int, salts: int, id
                 counts = np.bincount(flat, minlength=1)
                 held = np.flatnonzero(counts)
                 first = np.array([t[0] if len(t) else -1 for t in tokens], dtype="<i4")
-                rows = [(_UNIGRAMS, 0, 2, _pack(held.astype("<u4")), _pack(first), _pack(np.concatenate((counts[held].astype("<i8"), n.astype("<i8")))), _pack(np.concatenate((ids, named.astype("<i8")))))]
+                named_ids = np.concatenate((ids, named.astype("<i8")))
+                pack = xxhash.xxh3_64_intdigest(named_ids.tobytes()) - 2**63
+                rows = [(_UNIGRAMS, 0, 2, pack, _pack(held.astype("<u4")), _pack(first), _pack(np.concatenate((counts[held].astype("<i8"), n.astype("<i8")))), _pack(named_ids))]
                 inside = doc[1:] == doc[:-1] if len(doc) else np.empty(0, dtype=bool)
                 pair = (flat[:-1] * size + flat[1:])[inside]
                 both, times = np.unique((pair.astype(np.uint64) << np.uint64(16)) | doc[1:][inside].astype(np.uint64), return_counts=True)
@@ -80,11 +84,10 @@ def explode_pairs(docs: DataFrame, vocabulary: str, buckets: int, salts: int, id
                 where = bucket_of(keys, buckets)
                 order = np.argsort(where, kind="stable")
                 cuts = np.searchsorted(where[order], np.arange(buckets + 1))
-                packed_ids = _pack(np.concatenate((ids, named.astype("<i8"))))
                 salt = (salt + 1) % salts
                 for b in np.flatnonzero(np.diff(cuts)):
                     mine = order[cuts[b] : cuts[b + 1]]
-                    rows.append((int(b), salt, 1, _pack(_steps(keys[mine])), _pack(of[mine]), _pack(times[mine].astype("<u4")), packed_ids))
+                    rows.append((int(b), salt, 1, pack, _pack(_steps(keys[mine])), _pack(of[mine]), _pack(times[mine].astype("<u4")), None))
                 yield _batch(rows)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(run, _PACKED)
@@ -105,17 +108,17 @@ def count_tables(packed: DataFrame, parts: int) -> DataFrame:
             rows = []
             for bucket, keys, counts in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 k, c = _summed(np.cumsum(_unpack(keys, "<u8"), dtype=np.uint64), _unpack(counts, "<u4").astype("<i8"))
-                rows.append((bucket, 0, 0, _pack(_steps(k)), None, _pack(c), None))
+                rows.append((bucket, 0, 0, None, _pack(_steps(k)), None, _pack(c), None))
             yield _batch(rows)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, keys, counts, held = None, [], [], 0
         fold = lambda: _summed(np.concatenate(keys), np.concatenate(counts))
         for batch in batches:
-            for bucket, k, c in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), batch.column(5).to_pylist(), strict=True):
+            for bucket, k, c in zip(batch.column(0).to_pylist(), batch.column(4).to_pylist(), batch.column(6).to_pylist(), strict=True):
                 if bucket != now and now is not None:
                     a, b = fold()
-                    yield _batch([(now, 0, 0, _pack(_steps(a)), None, _pack(b), None)])
+                    yield _batch([(now, 0, 0, None, _pack(_steps(a)), None, _pack(b), None)])
                     keys, counts, held = [], [], 0
                 now = bucket
                 keys.append(np.cumsum(_unpack(k, "<u8"), dtype=np.uint64))
@@ -126,7 +129,7 @@ def count_tables(packed: DataFrame, parts: int) -> DataFrame:
                     keys, counts, held = [a], [b], 0
         if now is not None:
             a, b = fold()
-            yield _batch([(now, 0, 0, _pack(_steps(a)), None, _pack(b), None)])
+            yield _batch([(now, 0, 0, None, _pack(_steps(a)), None, _pack(b), None)])
 
     small = packed.where("kind = 1").select("bucket", "keys", "counts").mapInArrow(shrink, _PACKED)
     return small.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(merge, _PACKED)
@@ -142,7 +145,7 @@ def lm_score(docs: DataFrame, vocabulary: str, alpha: float = ALPHA, least: int
 
     Pairs are packed by hash partition (bucket). Each pack is summed before it is sent, so a frequent pair is one entry
     a pack in the count tables, and an entry a document at most in the join, whose packs a salt spreads; the count table of
-    a bucket is sent to each of its salts. Buckets and salts grow with the corpus, so what a task holds does not.
+    a bucket is sent to each of its salts. What a pack's documents score in a bucket goes back to the pack as one row. Buckets and salts grow with the corpus, so what a task holds does not.
     """
     chars, rows = docs.agg(F.sum(F.length(text_of(text_col)).cast("long")), F.count("*")).first()
     buckets = max(128, -(-(chars or 0) // (CHARS * PAIRS)))
@@ -173,16 +176,9 @@ def lm_score(docs: DataFrame, vocabulary: str, alpha: float = ALPHA, least: int
             log1 = np.log(c1)
         log_n, back = np.log(max(1, int(c1.sum()))), np.log(alpha)
         now, known, counts = None, np.empty(0, dtype=np.uint64), np.empty(0)
-        ids, sums, held = [], [], 0
-
-        def flush() -> pa.RecordBatch:
-            key, at = np.unique(np.concatenate(ids), return_inverse=True)
-            out = pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.bincount(at, np.concatenate(sums))), pa.array(np.zeros(len(key), dtype=np.int64))], names=["doc_id", "logprob", "n_tokens"])
-            ids.clear(), sums.clear()
-            return out
-
         for batch in batches:
-            for bucket, salt, kind, keys, of, times, packed_ids in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
+            rows = []
+            for bucket, salt, kind, pack, keys, of, times, _ in zip(*(batch.column(k).to_pylist() for k in range(8)), strict=True):
                 if kind == 0:
                     now, known, counts = (bucket, salt), np.cumsum(_unpack(keys, "<u8"), dtype=np.uint64), _unpack(times, "<i8")
                     keep = counts >= least
@@ -197,33 +193,39 @@ def lm_score(docs: DataFrame, vocabulary: str, alpha: float = ALPHA, least: int
                     at = np.minimum(np.searchsorted(known, k), len(known) - 1)
                     hit = known[at] == k
                     s[hit] = counts[at[hit]] - log1[a[hit]]
-                both = _unpack(packed_ids, "<i8")
-                doc_ids, named = both[: len(both) // 2], both[len(both) // 2 :] > 0
-                total = np.bincount(_unpack(of, "<u2"), s * _unpack(times, "<u4"), minlength=len(doc_ids))
-                ids.append(doc_ids[named])
-                sums.append(total[named])
-                held += len(doc_ids)
-                if held > 500_000:
-                    yield flush()
-                    held = 0
-        if ids:
-            yield flush()
-
-    def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                docs, at = np.unique(_unpack(of, "<u2"), return_inverse=True)
+                rows.append((bucket, salt, 3, pack, None, _pack(docs), _pack(np.bincount(at, s * _unpack(times, "<u4"))), None))
+            yield _batch(rows)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c1 = sent.value
         log_n = np.log(max(1, int(c1.sum())))
+        now, ids, named, total, length = None, None, None, None, None
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(ids[named]), pa.array(total[named]), pa.array(length[named])], names=["doc_id", "logprob", "n_tokens"])
+
         for batch in batches:
-            for keys, first, counts, packed_ids in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                f, n = _unpack(first, "<i4"), _unpack(counts, "<i8")[len(_unpack(keys, "<u4")) :]
-                both = _unpack(packed_ids, "<i8")
-                doc_ids, named = both[: len(both) // 2], both[len(both) // 2 :] > 0
-                s = np.where(f >= 0, np.log(np.maximum(c1[np.maximum(f, 0)], 1)) - log_n, 0.0)
-                yield pa.RecordBatch.from_arrays([pa.array(doc_ids[named]), pa.array(s[named]), pa.array(n[named])], names=["doc_id", "logprob", "n_tokens"])
-
-    partial = "doc_id long, logprob double, n_tokens long"
-    joined = tables.union(packed.where("kind = 1")).repartition(parts, "bucket", "salt").sortWithinPartitions("bucket", "salt", "kind").mapInArrow(score, partial)
-    starts = packed.where("kind = 2").select("keys", "docs", "counts", "ids").mapInArrow(firsts, partial)
-    total = joined.union(starts).groupBy("doc_id").agg(F.sum("n_tokens").alias("n_tokens"), F.round(F.sum("logprob"), 6).alias("logprob"))
+            for kind, pack, keys, docs, counts, packed_ids in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+                if pack != now:
+                    if now is not None:
+                        yield out()
+                    both = _unpack(packed_ids, "<i8")
+                    now, ids, named = pack, both[: len(both) // 2], both[len(both) // 2 :] > 0
+                    total, length = np.zeros(len(ids)), np.zeros(len(ids), dtype=np.int64)
+                if kind == 2:
+                    first = _unpack(docs, "<i4")
+                    total += np.where(first >= 0, np.log(np.maximum(c1[np.maximum(first, 0)], 1)) - log_n, 0.0)
+                    length += _unpack(counts, "<i8")[len(_unpack(keys, "<u4")) :]
+                else:
+                    total[_unpack(docs, "<u2")] += _unpack(counts, "<f8")
+        if now is not None:
+            yield out()
+
+    joined = tables.union(packed.where("kind = 1")).repartition(parts, "bucket", "salt").sortWithinPartitions("bucket", "salt", "kind").mapInArrow(score, _PACKED)
+    whole = joined.union(packed.where("kind = 2")).select("kind", "pack", "keys", "docs", "counts", "ids")
+    each = whole.repartition(parts, "pack").sortWithinPartitions("pack", "kind").mapInArrow(gather, "doc_id long, logprob double, n_tokens long")
+    total = each.groupBy("doc_id").agg(F.sum("n_tokens").alias("n_tokens"), F.round(F.sum("logprob"), 6).alias("logprob"))
     return total.withColumn("score", F.when(F.col("n_tokens") > 0, F.round(F.col("logprob") / F.col("n_tokens"), 9)).otherwise(0.0))
 
 
