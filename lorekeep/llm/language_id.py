@@ -194,7 +194,8 @@ def keep_identified(docs: DataFrame, net: Network | None, floor: float, text_col
             yield pd.DataFrame({"lang": langs, "score": scores})
 
     made = F.pandas_udf(run, "lang string, score double")(text_of(text_col))
-    return docs.withColumn("_found", made).where((F.col("_found.lang") != "und") & (F.col("_found.score") >= floor)).select(*docs.columns)
+    judged = docs.select(F.struct(*docs.columns).alias("row"), made.alias("found"))
+    return judged.where((F.col("found.lang") != "und") & (F.col("found.score") >= floor)).select("row.*")
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -203,7 +203,7 @@ def examples(seed: int, n: int) -> tuple[np.ndarray, np.ndarray, list[str]]:
         "card": lambda: card(pick(".", "/", " ")),
         "ssn": lambda: f"{rng.integers(100, 899)}-{num(2)}-{num(4)}",
         "iban": iban,
-        "secret": lambda: pick("AKIA" + "".join(pick(*"ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(16)), f"password={hexa(18)}", f'token = "{hexa(40)}"', f"sk-{hexa(32)}"),
+        "secret": lambda: pick("AKIA" + "".join(pick(*"ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(16)), f"password={hexa(int(rng.integers(8, 25)))}", f'token = "{hexa(int(rng.integers(16, 49)))}"', f"sk-{hexa(32)}"),
     }
     bad = {
         "email": lambda: f"{word()} {pick('at', 'at the')} {word()} dot {word()} {word()}",
