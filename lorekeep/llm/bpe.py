@@ -7,18 +7,21 @@ import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
-import pandas as pd
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import regex
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import map_texts, table, text_of
+from .common import map_texts, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Code points in a chunk, and how many of them the next one repeats.
 CHUNK, OVERLAP = 32_768, 1_024
+#: Rows that are held as token ids at a time.
+SLICE = 128
 #: Alternatives of the pattern look at most this far beyond a token's start, besides the run they match.
 MARGIN = 8
 
@@ -75,26 +78,47 @@ def encode(text: str, enc: tiktoken.Encoding, pattern: str = public_tokenizers.P
     return ids
 
 
-def encode_documents(docs: DataFrame, vocabulary: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """docs with the token ids of each whole text; a null or empty text has none. Rows are independent: no shuffle."""
+def encode_documents(docs: DataFrame, vocabulary: str, text_col: str = "text", ids_col: str = "ids", verify: str | None = None) -> DataFrame:
+    """docs with the token ids of each whole text; a null or empty text has none. Rows are independent: no shuffle.
 
-    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        enc = encoding(vocabulary)
-        for batch in texts:
-            yield batch.map(lambda t: encode(t, enc))
+    With verify, a column of that name says whether decoding the ids gives the text's bytes again. Columns of docs
+    named like the new ones are replaced.
+    """
+    docs = docs.drop(ids_col, *([verify] if verify else []))
 
-    return docs.withColumn(ids_col, F.pandas_udf(run, "array<int>")(text_of(text_col)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoding(vocabulary)
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                texts = [t or "" for t in part.column(part.schema.get_field_index(text_col)).to_pylist()]
+                ids = [np.array(encode(t, enc), dtype=np.int32) for t in texts]
+                ends = np.concatenate(([0], np.cumsum([len(i) for i in ids]))).astype(np.int32)
+                columns = [*part.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))]
+                names = [*part.schema.names, ids_col]
+                if verify:
+                    columns.append(pa.array([enc.decode_bytes(i.tolist()) == t.encode("utf-8", "surrogatepass") for i, t in zip(ids, texts, strict=True)]))
+                    names.append(verify)
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    schema = T.StructType([*docs.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType())), *([T.StructField(verify, T.BooleanType())] if verify else [])])
+    return docs.mapInArrow(run, schema)
 
 
 def decode_documents(docs: DataFrame, vocabulary: str, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
     """docs with the raw bytes of each list of ids joined; a null list gives none."""
+    docs = docs.drop(bytes_col)
 
-    def run(lists: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(vocabulary)
-        for batch in lists:
-            yield batch.map(lambda ids: b"" if ids is None else enc.decode_bytes(list(ids)))
-
-    return docs.withColumn(bytes_col, F.pandas_udf(run, "binary")(F.col(ids_col)))
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                lists = part.column(part.schema.get_field_index(ids_col))
+                data = pa.array([enc.decode_bytes(i.values.to_pylist()) if i.is_valid else b"" for i in lists], pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.columns, data], names=[*part.schema.names, bytes_col])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(bytes_col, T.BinaryType())]))
 
 
 def bpe_digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

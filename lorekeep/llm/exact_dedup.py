@@ -16,59 +16,54 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(text, r"[\x20\x09-\x0D]+", "")
 
 
-def _signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The columns of each level, cheapest first; _norm stays unread until a level asks for it."""
-    return (
-        docs.withColumn("_norm", normalised(text_of(text_col)))
-        .withColumn("_raw", F.length(text_of(text_col)))
-        .withColumn("_len", F.length("_norm"))
-        .withColumn("_pre", F.xxhash64(F.substring("_norm", 1, PREFIX)))
-    )
+ADDED = ("keep_id", "group_size", "kept", "text_sha256")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
-    """The rows of docs with keep_id, group_size, kept (and text_sha256 when digest is set).
+def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
+    """A row for each of docs: row (a struct of all its columns), keep_id, group_size, kept, text_sha256 (null unless digest is set or a copy is likely).
 
     Texts are equal when they are identical without ASCII white space; a null text is the empty one and all empty
     texts are one group. Of a group the row with the most code points in the original text stays, then the one
     with the smallest id. Every input row comes back once: an id that repeats keeps its rows, all of which count in
-    group_size. A null id ranks last. No rows give no rows. Other columns pass through; names starting with an
-    underscore that clash with the work columns (_norm _raw _len _pre _full _key) are not supported.
+    group_size. A null id ranks last. No rows give no rows. Other columns don't matter, whatever their names.
 
     Level 1 counts lengths and level 2 (length, prefix hash) pairs; both are summed map-side, so a group of any size
     shuffles one row a task. Level 3 hashes the full text only of rows whose pair repeats. The last join sends one
     row a group to the documents; Spark splits its hot keys (skew join), as no operator above it needs them together.
     """
-    signed = _signed(docs, id_col, text_col)
-    pairs = signed.groupBy("_len", "_pre").agg(F.count("*").alias("_n"))
-    lengths = pairs.groupBy("_len").agg(F.sum("_n").alias("_of_len")).where("_of_len > 1").select("_len")
-    pairs = cut(pairs.where("_n > 1").join(lengths, "_len", "left_semi").select("_len", "_pre", F.lit(True).alias("_again")))
+    signed = (
+        docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
+        .withColumn("norm", normalised(F.col("text"))).withColumn("raw", F.length("text"))
+        .withColumn("len", F.length("norm")).withColumn("pre", F.xxhash64(F.substring("norm", 1, PREFIX)))
+    )
+    pairs = signed.groupBy("len", "pre").agg(F.count("*").alias("n"))
+    lengths = pairs.groupBy("len").agg(F.sum("n").alias("of_len")).where("of_len > 1").select("len")
+    pairs = cut(pairs.where("n > 1").join(lengths, "len", "left_semi").select("len", "pre", F.lit(True).alias("again")))
     n = pairs.count()
     if n <= MOST_KEYS:
-        flagged = signed.join(small_side(pairs, n, MOST_KEYS), ["_len", "_pre"], "left")
+        flagged = signed.join(small_side(pairs, n, MOST_KEYS), ["len", "pre"], "left").withColumn("again", F.coalesce("again", F.lit(False)))
     else:  # too many repeat to send to every executor: a full hash of all rows saves moving the texts
-        flagged = signed.withColumn("_again", F.lit(True))
-    again = F.coalesce("_again", F.lit(False))
-    sha = F.sha2(F.col("_norm"), 256)
-    full = flagged.withColumn("_full", sha if digest else F.when(again, sha)).withColumn("_again", again)
-    # nulls last: the largest id stands for none
-    order = F.struct(F.col("_raw"), F.col(id_col).isNotNull(), -F.col(id_col).cast("long"))
-    groups = (
-        full.where("_again").groupBy(F.col("_full").alias("_key"))
-        .agg(F.count("*").alias("_size"), F.max_by(F.col(id_col), order).alias("_keep"))
-        .where("_size > 1")
-    )
-    # a key of its own expression: the groups are dealt anew, and Spark can then split the hot keys of the documents
-    groups = groups.withColumn("_key", dealt_anew(F.col("_key")))
-    keyed = full.withColumn("_key", F.when(F.col("_again"), F.col("_full")).otherwise(F.concat(F.lit("alone "), F.xxhash64(F.col(id_col)).cast("string"))))
-    out = keyed.drop("_norm").join(groups, "_key", "left")
-    return out.select(
-        *docs.columns,
-        F.coalesce("_keep", F.col(id_col)).alias("keep_id"),
-        F.coalesce("_size", F.lit(1)).cast("long").alias("group_size"),
-        F.coalesce(F.col("_keep") == F.col(id_col), F.col("_size").isNull(), F.lit(False)).alias("kept"),
-        *([F.col("_full").alias("text_sha256")] if digest else []),
-    )
+        flagged = signed.withColumn("again", F.lit(True))
+    sha = F.sha2(F.col("norm"), 256)
+    full = flagged.withColumn("full", sha if digest else F.when(F.col("again"), sha))
+    order = F.struct(F.col("raw"), F.col("id").isNotNull(), -F.col("id"))
+    groups = full.where("again").groupBy(F.col("full").alias("key")).agg(F.count("*").alias("size"), F.max_by("id", order).alias("keep")).where("size > 1")
+    groups = groups.withColumn("key", dealt_anew(F.col("key")))
+    alone = F.concat(F.lit("alone "), F.coalesce(F.col("id").cast("string"), F.lit("")))
+    out = full.withColumn("key", F.when(F.col("again"), F.col("full")).otherwise(alone)).drop("norm", "text").join(groups, "key", "left")
+    keep = F.when(F.col("size").isNull(), F.col("id")).otherwise(F.col("keep"))
+    return out.select("row", keep.alias("keep_id"), F.coalesce("size", F.lit(1)).cast("long").alias("group_size"), keep.eqNullSafe(F.col("id")).alias("kept"), F.col("full").alias("text_sha256"))
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
+    """The rows of docs with what decide() says of them; columns of docs named like an added one are left out."""
+    passed = [F.col("row")[c].alias(c) for c in docs.columns if c not in ADDED]
+    return decide(docs, id_col, text_col, digest).select(*passed, *(c for c in ADDED if digest or c != "text_sha256"))
+
+
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that stay, with the columns of docs."""
+    return decide(docs, id_col, text_col).where("kept").select("row.*")
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
