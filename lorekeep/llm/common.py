@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..operators.lineage import settle as cut
 from ..operators.lineage import use_checkpoints
 
-__all__ = ["BROADCAST_ROWS", "crc_mod", "cut", "dealt_anew", "map_texts", "shared_folder", "small_side", "table", "text_of"]
+__all__ = ["BROADCAST_ROWS", "crc_mod", "cut", "dealt_anew", "drawn", "map_texts", "shared_folder", "small_side", "table", "text_of"]
 
 #: Rows that a side may have at most to be broadcast; counted before, never guessed.
 BROADCAST_ROWS = 200_000
@@ -37,6 +37,15 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
+def drawn(key: Column, salt: str, wanted: int, rows: int) -> Column:
+    """About twice the wanted number of so many rows, by the hash of their key: what a bounded sample is taken from.
+
+    Without it every task would send its own best `wanted` rows to the driver.
+    """
+    share = 2.0 * wanted / max(rows, 1)
+    return F.lit(True) if share >= 1 else F.pmod(F.xxhash64(key, F.lit(salt)), F.lit(2**32)) < int(share * 2**32)
+
+
 def dealt_anew(col: Column) -> Column:
     """The same value as an expression of its own, so that a join deals an aggregate's rows again.
 

@@ -11,7 +11,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, map_texts, table, text_of
+from .common import crc_mod, drawn, map_texts, table, text_of
 
 WINDOW = 192
 #: Filters of each width, and the size of a byte's vector.
@@ -159,8 +159,9 @@ def predict(net: Network | None, texts: list[str], batch: int = 512) -> tuple[li
 
 def fit(docs: DataFrame, where: Column | None = None, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Network | None:
     """Train on at most `sample` labelled texts, those whose ids hash lowest; texts without a letter or label are left out."""
-    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
+    rows = docs.where(F.col(lang_col).isNotNull())
     rows = rows.where(where) if where is not None else rows
+    rows = rows.where(drawn(F.col(id_col), "language", sample, rows.count())).where(F.col(text_col).rlike(r"\p{L}"))
     text, size = F.col(text_col), F.length(text_col)
     place = lambda k: F.substring(text, 1 + F.pmod(F.xxhash64(F.col(id_col), F.lit(k)), F.greatest(F.lit(1), size - WINDOW)).cast("int"), WINDOW)
     chosen = rows.select(F.xxhash64(id_col).alias("h"), id_col, F.array(*map(place, range(PLACES))).alias("t"), F.col(lang_col).cast("string").alias("l"))
