@@ -156,3 +156,14 @@ def context(journal: DataFrame, q: str, as_of: str | None = None, limit: int = 1
     shown = candidates.orderBy(F.desc("score"), "id").offset(offset).limit(limit)
     following = offset + min(limit, max(0, total - offset))
     return Context(resolution, shown, projects, decisions, neighbours, cues.operation(q), cues.constraint_cues(q), missing, total, following if following < total else None)
+
+
+def render(c: Context) -> str:
+    """A context as text: what it is about, what belongs to it and what is missing."""
+    lines = [f"resolution: {c.resolution}"]
+    for r in c.candidates.collect():  # one page
+        lines.append(f"- {r['label']} ({r['id']}) {r['score']:.2f} {r['why']}" + (f", also {', '.join(r['also'])}" if r["also"] else ""))
+    lines += [f"project: {p}" for p in c.projects]
+    lines += [f"decision: {r['label']} [{r['status'] or 'unknown'}]" for r in c.decisions.orderBy("id").limit(20).collect()]
+    lines += [f"missing: {m}" for m in c.missing]
+    return "\n".join(lines + ([f"more from {c.next_offset}"] if c.next_offset is not None else []))
