@@ -15,7 +15,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, cut, map_texts, small_side, table, text_of
+from .common import crc_mod, cut, drawn, map_texts, small_side, table, text_of
 
 #: Code points of word pieces. A word's features are the word and its pieces.
 PIECES = (4, 5)
@@ -212,7 +212,8 @@ def fit(docs: DataFrame, labels: DataFrame, where: Column | None = None, id_col:
     feature = {r["feature"]: k for k, r in enumerate(chosen)}
     idf = np.array([math.log((pos + neg + 1) / (r["df"] + 1)) + 1 for r in chosen])
     half = EXAMPLES // 2
-    hashed = rows.withColumn("h", F.xxhash64("doc_id", F.lit("example")))
+    some = F.when(F.col("label") == 1, drawn(F.col("doc_id"), "toxic", half, pos)).otherwise(drawn(F.col("doc_id"), "toxic", half, neg))
+    hashed = rows.where(some).withColumn("h", F.xxhash64("doc_id", F.lit("example")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = matcher(feature)
