@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,6 +84,58 @@ def paired(calls: DataFrame, outputs: DataFrame) -> DataFrame:
     )
 
 
+def paired_in_order(calls: DataFrame, outputs: DataFrame, near: int = 2) -> DataFrame:
+    """(session, call_line, line, way): outputs (session, line, call_id, call_line) claimed by calls (session, line, call_id), each once.
+
+    First by id, then by the line that an output names, then by standing within `near` lines after a call. A later way
+    only takes what the earlier ones left, so a session is paired as a whole.
+    """
+
+    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        calls_, outs = left.sort_values("line").to_dict("records"), right.sort_values("line").to_dict("records")
+        done: dict[int, tuple[int, str]] = {}
+        taken: set[int] = set()
+        ways = {
+            "id": lambda c, o: c["call_id"] is not None and c["call_id"] == o["call_id"],
+            "line": lambda c, o: o["call_line"] == c["line"],
+            "near": lambda c, o: 0 < o["line"] - c["line"] <= near,
+        }
+        for way, fits in ways.items():
+            for c in calls_:
+                if c["line"] in done:
+                    continue
+                hit = next((o["line"] for o in outs if o["line"] not in taken and fits(c, o)), None)
+                if hit is not None:
+                    done[c["line"]] = (hit, way)
+                    taken.add(hit)
+        return pd.DataFrame([(key[0], c, o, w) for c, (o, w) in sorted(done.items())], columns=["session", "call_line", "line", "way"])
+
+    a, b = calls.select("session", "line", "call_id"), outputs.select("session", "line", "call_id", "call_line")
+    return a.groupBy("session").cogroup(b.groupBy("session")).applyInPandas(run, "session string, call_line long, line long, way string")
+
+
+#: Tools that write a plan, and where its items and their fields are.
+PLAN_TOOLS = ("update_plan", "todowrite", "todo_write", "write_todos", "manage_todo_list", "update_todo_list")
+
+
+def plan_writes(calls: DataFrame) -> DataFrame:
+    """(session, line, call_id, items) of plan writes in calls (session, line, call_id, name, arguments): each item's words and state."""
+    from ..functions.text import status_word
+
+    kind = "array<struct<content:string,step:string,title:string,text:string,status:string,state:string>>"
+    raw = F.coalesce(*(F.from_json(F.get_json_object("arguments", f"$.{k}"), kind) for k in ("plan", "todos", "items", "todoList", "tasks")))
+    item = lambda i: F.struct(F.coalesce(i["content"], i["step"], i["title"], i["text"]).alias("content"), F.coalesce(status_word(F.coalesce(i["status"], i["state"])), F.lit("unknown")).alias("status"))
+    rows = calls.where(F.lower("name").isin(*PLAN_TOOLS)).select("session", "line", "call_id", F.filter(F.transform(raw, item), lambda i: F.trim(i["content"]) != "").alias("items"))
+    return rows.where(F.size("items") > 0)
+
+
+def outstanding(items: Column) -> Column:
+    """(current, next, open): the item in progress, the first pending one, and how many of both there are."""
+    of = lambda s: F.filter(items, lambda i: i["status"] == s)
+    doing, waiting = of("in_progress"), of("pending")
+    return F.struct(F.get(doing, F.lit(0))["content"].alias("current"), F.get(waiting, F.lit(0))["content"].alias("next"), (F.size(doing) + F.size(waiting)).alias("open"))
+
+
 def prune_decisions(tools: DataFrame, writes: DataFrame, newest: DataFrame, keep: int = 4) -> DataFrame:
     """(session, line, rule, target, by_line): tool outputs that later work made stale.
 

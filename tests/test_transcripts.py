@@ -97,3 +97,22 @@ def test_calls_pair_with_outputs_once(spark):
 def test_confirmed_plans_beat_newer_ones(spark):
     rows = spark.createDataFrame([("s", 1, ["a"], True), ("s", 9, ["b"], False), ("t", 2, ["c"], False)], "session string, line long, items array<string>, confirmed boolean")
     assert {(r["session"], r["line"]) for r in T.task_state(rows).collect()} == {("s", 1), ("t", 2)}
+
+
+def test_outputs_are_claimed_by_id_then_line_then_nearness(spark):
+    calls = spark.createDataFrame([("s", 1, "a"), ("s", 3, None), ("s", 6, None), ("s", 9, "z")], "session string, line long, call_id string")
+    outputs = spark.createDataFrame([("s", 2, None, None), ("s", 4, None, 6), ("s", 5, "a", None), ("t", 1, None, None)], "session string, line long, call_id string, call_line long")
+    got = {(r["call_line"], r["line"], r["way"]) for r in T.paired_in_order(calls, outputs).collect()}
+    assert got == {(1, 5, "id"), (6, 4, "line")}
+    more = outputs.union(spark.createDataFrame([("s", 10, None, None)], outputs.schema))
+    assert (9, 10, "near") in {(r["call_line"], r["line"], r["way"]) for r in T.paired_in_order(calls, more).collect()}
+
+
+def test_plans(spark):
+    calls = spark.createDataFrame([
+        ("s", 1, "c1", "update_plan", json.dumps({"plan": [{"step": "a", "status": "completed"}, {"step": "b", "status": "in_progress"}, {"step": "c", "status": "pending"}]})),
+        ("s", 5, "c2", "TodoWrite", json.dumps({"todos": [{"content": "x", "status": "odd"}, {"content": " "}]})), ("s", 6, "c3", "bash", "{}"), ("s", 7, "c4", "update_plan", "nonsense"),
+    ], "session string, line long, call_id string, name string, arguments string")
+    rows = {r["line"]: r for r in T.plan_writes(calls).withColumn("o", T.outstanding(F.col("items"))).collect()}
+    assert set(rows) == {1, 5} and tuple(rows[1]["o"]) == ("b", "c", 2)
+    assert [(i["content"], i["status"]) for i in rows[5]["items"]] == [("x", "unknown")]
