@@ -187,7 +187,12 @@ def identify(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_
 
 
 def keep_identified(docs: DataFrame, net: Network | None, floor: float, text_col: str = "text") -> DataFrame:
-    """The rows of docs, with their columns, whose text has a language at a score of floor or more; `und` goes."""
+    """The rows of docs, with their columns, whose text has a language at a score of floor or more; `und` goes.
+
+    Where nothing was learned no language can be refuted: all texts with a letter stay.
+    """
+    if net is None:
+        return docs.where(text_of(text_col).rlike(r"\p{L}"))
 
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in texts:

@@ -245,6 +245,7 @@ def test_language_on_odd_rows(odd, frame):
     kept = language_id.keep_identified(odd, net, 0.0)
     assert kept.columns == odd.columns and kept.count() == odd.count() - 4
     assert language_id.fit(frame({})) is None
+    assert {r["doc_id"] for r in language_id.keep_identified(odd, None, 0.9).collect()} == {None, 3, 4, 6}
     assert {r["lang_pred"] for r in language_id.identify(odd, None).collect()} == {"und"}
 
 
