@@ -65,36 +65,37 @@ def segments(bits: int) -> list[tuple[int, int]]:
 
 
 def variant_keys(fp: Column, bits: int) -> Column:
-    """(bit, rest) for each wildcard: the segment that holds the bit, without it.
+    """A key for each wildcard: the segment that holds the bit, without it, and above it the bit's number.
 
     Two fingerprints share a key at any wildcard of a segment in which they are equal, and at the bit that differs of
     one in which a single bit does.
     """
     keys = []
     for lo, hi in segments(bits):
-        segment = fp.bitwiseAND(F.lit(signed(2**hi - 2**lo)))
-        keys += [F.struct(F.lit(bit).alias("bit"), segment.bitwiseAND(F.lit(signed(2**64 - 1 - 2**bit))).alias("rest")) for bit in range(lo, hi)]
+        segment = F.shiftrightunsigned(fp, lo).bitwiseAND(F.lit(2 ** (hi - lo) - 1))
+        keys += [F.lit(bit * 2**32).bitwiseXOR(segment.bitwiseAND(F.lit(2 ** (hi - lo) - 1 - 2 ** (bit - lo)))) for bit in range(lo, hi)]
     return F.array(*keys)
 
 
 def fingerprint_links(fps: DataFrame, bits: int) -> DataFrame:
-    """Pairs a < b of distinct fingerprints (column fp) that differ in at most `bits` bits, each once.
+    """Pairs a < b of distinct fingerprints (column fp) that differ in at most `bits` bits (2 to 60), each once.
 
     The signature join is an equality join that checks the distance as it goes, and takes a pair only at its first
     shared key (the first segment that differs by at most one bit; its first wildcard if it is equal): only links
-    leave the join, each once. Spark splits its hot keys. bits is 0 to 60.
+    leave the join, each once. Spark splits its hot keys.
     """
-    keyed = fps.select("fp", F.explode(variant_keys(F.col("fp"), bits)).alias("k")).select("fp", "k.*")
+    if not 2 <= bits <= 60:
+        raise ValueError("bits is 2 to 60")
+    keyed = fps.select("fp", F.explode(variant_keys(F.col("fp"), bits)).alias("key"))
     a, b = keyed.withColumnRenamed("fp", "a"), keyed.withColumnRenamed("fp", "b")
-    differ = F.col("a").bitwiseXOR(F.col("b"))
+    differ, bit = F.col("a").bitwiseXOR(F.col("b")), F.shiftrightunsigned(a["key"], 32)
     near = (F.col("a") < F.col("b")) & (F.bit_count(differ) <= bits)
     first, earlier = F.lit(False), F.lit(True)
     for lo, hi in segments(bits):
         here = differ.bitwiseAND(F.lit(signed(2**hi - 2**lo)))
-        first = first | (a["bit"].between(lo, hi - 1) & earlier & ((here != 0) | (a["bit"] == lo)))
+        first = first | (bit.between(lo, hi - 1) & earlier & ((here != 0) | (bit == lo)))
         earlier = earlier & (F.bit_count(here) > 1)
-    on = (a["bit"] == b["bit"]) & (a["rest"] == b["rest"]) & near & first
-    return a.join(b.hint("merge"), on).select("a", "b")
+    return a.join(b.hint("merge"), (a["key"] == b["key"]) & near & first).select("a", "b")
 
 
 def simhash_components(docs: DataFrame, words: int = 4, bits: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -195,7 +196,7 @@ def similar_links(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits
     ids = likely.select(F.col("a").alias(id_col)).union(likely.select("b")).distinct()
     n = ids.count()
     sets = map_texts(docs.join(small_side(ids, n), id_col, "left_semi"), make, "x binary", id_col, text_col).dropDuplicates(["doc_id"])
-    full = likely.join(sets.select(F.col("doc_id").alias("a"), F.col("x").alias("xa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("x").alias("xb")), "b")
+    full = likely.join(sets.select(dealt_anew(F.col("doc_id")).alias("a"), F.col("x").alias("xa")), "a").join(sets.select(dealt_anew(F.col("doc_id")).alias("b"), F.col("x").alias("xb")), "b")
     return member, _agreeing(full, True, similarity)
 
 
