@@ -17,7 +17,7 @@ from lorekeep.llm import bpe, decontaminate, exact_dedup, language_id, simhash
 from lorekeep.llm.common import shared_folder, table
 
 #: A document goes if no language reaches this probability; four equal ones have 0.25 each.
-LANGUAGE_FLOOR = 0.35
+LANGUAGE_FLOOR = 0.3
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
