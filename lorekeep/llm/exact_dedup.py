@@ -28,8 +28,8 @@ def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dige
     group_size. A null id ranks last. No rows give no rows. Other columns don't matter, whatever their names.
 
     Level 1 counts lengths and level 2 (length, prefix hash) pairs; both are summed map-side, so a group of any size
-    shuffles one row a task. Level 3 hashes the full text only of rows whose pair repeats. The last join sends one
-    row a group to the documents; Spark splits its hot keys (skew join), as no operator above it needs them together.
+    shuffles one row a task. Level 3 hashes the full text only of rows whose pair repeats; only those rows are moved,
+    to meet one row a group in a join whose hot keys Spark splits. All other rows stay where they are.
     """
     signed = (
         docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
@@ -45,14 +45,12 @@ def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dige
     else:  # too many repeat to send to every executor: a full hash of all rows saves moving the texts
         flagged = signed.withColumn("again", F.lit(True))
     sha = F.sha2(F.col("norm"), 256)
-    full = flagged.withColumn("full", sha if digest else F.when(F.col("again"), sha))
+    alone = flagged.where("not again").select("row", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), (sha if digest else F.lit(None).cast("string")).alias("text_sha256"))
+    full = flagged.where("again").select("row", "id", "raw", sha.alias("key"))
     order = F.struct(F.col("raw"), F.col("id").isNotNull(), -F.col("id"))
-    groups = full.where("again").groupBy(F.col("full").alias("key")).agg(F.count("*").alias("size"), F.max_by("id", order).alias("keep")).where("size > 1")
-    groups = groups.withColumn("key", dealt_anew(F.col("key")))
-    alone = F.concat(F.lit("alone "), F.coalesce(F.col("id").cast("string"), F.lit("")))
-    out = full.withColumn("key", F.when(F.col("again"), F.col("full")).otherwise(alone)).drop("norm", "text").join(groups, "key", "left")
-    keep = F.when(F.col("size").isNull(), F.col("id")).otherwise(F.col("keep"))
-    return out.select("row", keep.alias("keep_id"), F.coalesce("size", F.lit(1)).cast("long").alias("group_size"), keep.eqNullSafe(F.col("id")).alias("kept"), F.col("full").alias("text_sha256"))
+    groups = full.groupBy("key").agg(F.count("*").alias("size"), F.max_by("id", order).alias("keep")).withColumn("key", dealt_anew(F.col("key")))
+    copies = full.join(groups, "key").select("row", F.col("keep").alias("keep_id"), F.col("size").alias("group_size"), F.col("keep").eqNullSafe(F.col("id")).alias("kept"), F.col("key").alias("text_sha256"))
+    return alone.union(copies)
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
