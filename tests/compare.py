@@ -5,12 +5,13 @@ from __future__ import annotations
 import os
 
 import duckdb
+import pandas as pd
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
 def canonical(value):
-    if value is None or value != value:
+    if value is None or value is pd.NA or value is pd.NaT or value != value:
         return "null"
     if isinstance(value, float):
         return repr(int(value)) if value == int(value) else f"{value:.9g}"
