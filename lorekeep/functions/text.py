@@ -10,6 +10,11 @@ from .vocabulary import CJK, EDGE_KINDS, NODE_KINDS, STATUS_WORDS, STOP_WORDS, T
 STAMP = "yyyy-MM-dd'T'HH:mm:ss'Z'"
 
 
+def once(costly: Column) -> Column:
+    """A costly column as a row of its own: filters and keys above read the result instead of computing it again each."""
+    return F.explode(F.array(costly))
+
+
 def stamp(ts: Column) -> Column:
     """A timestamp as the canonical fixed-width string, whose order is the order of time."""
     return F.date_format(ts, STAMP)

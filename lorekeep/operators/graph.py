@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import bare_key, edge_kind, is_canonical_stamp, is_location, node_kind, project_key
+from ..functions.text import bare_key, edge_kind, is_canonical_stamp, is_location, node_kind, once, project_key
 from ..functions.vocabulary import EDGE_KINDS, NODE_KINDS, TRIPLES, URI_EDGES, URI_NODES
 from .lineage import settle
 
@@ -31,7 +31,7 @@ def replay_nodes(journal: DataFrame) -> DataFrame:
 
     Fields are maximised map-side, so an id with any number of upserts moves a row a field and task.
     """
-    up = journal.where("op = 'node.upsert'").select("seq", "observed_utc", F.from_json("payload", "map<string,string>").alias("m"))
+    up = journal.where("op = 'node.upsert'").select("seq", "observed_utc", once(F.from_json("payload", "map<string,string>")).alias("m"))
     up = up.withColumn("id", F.try_element_at("m", F.lit("id"))).where("id is not null")
     seen = F.greatest("observed_utc", F.try_element_at("m", F.lit("observed_utc")))
     fields = up.select("seq", "id", seen.alias("seen"), F.explode("m").alias("key", "value")).where("key <> 'observed_utc'")
@@ -42,7 +42,7 @@ def replay_nodes(journal: DataFrame) -> DataFrame:
 
 def replay_edges(journal: DataFrame) -> DataFrame:
     """Every assertion as a row of its own; a retraction flags the earlier ones of its (from, edge, to)."""
-    said = journal.where("op in ('edge.assert', 'edge.retract')").select("seq", "op", F.col("observed_utc").alias("event_utc"), F.from_json("payload", _EDGE_FIELDS).alias("p"))
+    said = journal.where("op in ('edge.assert', 'edge.retract')").select("seq", "op", F.col("observed_utc").alias("event_utc"), once(F.from_json("payload", _EDGE_FIELDS)).alias("p"))
     said = said.select("seq", "op", "event_utc", "p.*").where("`from` is not null and `to` is not null and type is not null").withColumn("edge", edge_kind(F.col("type")))
     retracts = said.where("op = 'edge.retract'").groupBy("from", "edge", "to").agg(F.max("seq").alias("retract_seq"))
     rows = said.where("op = 'edge.assert'").select(

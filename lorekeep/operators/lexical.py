@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import is_single_cjk, tokens
+from ..functions.text import is_single_cjk, once, tokens
 
 K1, B = 1.2, 0.75
 
 
 def postings(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
     """(id, term, tf, len): each document's terms, how often it holds them, and its number of tokens."""
-    listed = docs.select(F.col(id_col).alias("id"), tokens(text).alias("t")).select("id", F.size("t").alias("len"), F.explode("t").alias("term"))
+    listed = docs.select(F.col(id_col).alias("id"), once(tokens(text)).alias("t")).select("id", F.size("t").alias("len"), F.explode("t").alias("term"))
     return listed.groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
 
 

@@ -15,6 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a table in a few files, dealt to all cores before costly work on each; a table of many splits stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
+
+
 def _events(rows: DataFrame, op: str, **fields) -> DataFrame:
     payload = F.to_json(F.struct(*[v.alias(k.rstrip("_")) for k, v in fields.items()]))
     return rows.select("seq", F.col("utc").alias("observed_utc"), F.lit(op).alias("op"), payload.alias("payload"))
@@ -28,7 +34,7 @@ def node_events(spark: SparkSession, d: str) -> DataFrame:
     """One upsert for each row of the dimension tables and orders."""
     t = lambda n, key: table(spark, d, n).withColumn("seq", F.col(key).cast("long")).withColumn("utc", F.lit(DAY_ONE))
     status = F.when(F.col("o_orderstatus") == "F", "done").when(F.col("o_orderstatus") == "P", "blocked").otherwise("open")
-    orders = t("orders", "o_orderkey").withColumn("utc", stamp(F.col("o_orderdate")))
+    orders = spread(t("orders", "o_orderkey").select("seq", "o_orderkey", "o_orderstatus", "o_orderpriority", "o_orderdate")).withColumn("utc", stamp(F.col("o_orderdate")))
     parts = [
         _events(t("region", "r_regionkey"), "node.upsert", id=_id("region", "r_regionkey"), type=F.lit("Region"), label=F.col("r_name")),
         _events(t("nation", "n_nationkey"), "node.upsert", id=_id("nation", "n_nationkey"), type=F.lit("Nation"), label=F.col("n_name")),
@@ -45,7 +51,7 @@ def node_events(spark: SparkSession, d: str) -> DataFrame:
 
 def user_events(spark: SparkSession, d: str) -> DataFrame:
     """Repeated upserts of the same users: the last event is their status."""
-    rows = table(spark, d, "events").withColumn("seq", EVENTS_FROM + F.col("event_id")).withColumn("utc", stamp(F.col("ts")))
+    rows = spread(table(spark, d, "events").select("event_id", "ts", "user_id", "event_type", "value")).withColumn("seq", EVENTS_FROM + F.col("event_id")).withColumn("utc", stamp(F.col("ts")))
     return _events(rows, "node.upsert", id=_id("user", "user_id"), type=F.lit("User"), status=F.col("event_type"), value=F.col("value").cast("string"))
 
 
@@ -53,7 +59,7 @@ def place_events(spark: SparkSession, d: str) -> DataFrame:
     """Custom edges region -> nation -> customer -> order, and the legal order -> customer."""
     nation = table(spark, d, "nation").select((EDGES_FROM - 3 * 10**9 + F.col("n_nationkey")).alias("seq"), F.lit(DAY_ONE).alias("utc"), "n_nationkey", "n_regionkey")
     customer = table(spark, d, "customer").select((EDGES_FROM - 2 * 10**9 + F.col("c_custkey")).alias("seq"), F.lit(DAY_ONE).alias("utc"), "c_custkey", "c_nationkey")
-    orders = table(spark, d, "orders").select((EDGES_FROM - 10**9 + F.col("o_orderkey")).alias("seq"), stamp(F.col("o_orderdate")).alias("utc"), "o_orderkey", "o_custkey")
+    orders = spread(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate")).select((EDGES_FROM - 10**9 + F.col("o_orderkey")).alias("seq"), stamp(F.col("o_orderdate")).alias("utc"), "o_orderkey", "o_custkey")
     said = F.lit("tables")
     return (
         _events(nation, "edge.assert", from_=_id("region", "n_regionkey"), type=F.lit("contains"), to=_id("nation", "n_nationkey"), provenance=said)
@@ -65,7 +71,8 @@ def place_events(spark: SparkSession, d: str) -> DataFrame:
 
 def line_events(spark: SparkSession, d: str) -> DataFrame:
     """order -> part from each line, valid for a year on even lines; returned lines retract the pair after line five."""
-    rows = table(spark, d, "lineitem").withColumn("utc", stamp(F.col("l_shipdate")))
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_returnflag", "l_shipdate")
+    rows = spread(lines).withColumn("utc", stamp(F.col("l_shipdate")))
     seq = EDGES_FROM + F.col("l_orderkey") * 10
     until = F.when(F.col("l_linenumber") % 2 == 0, stamp(F.col("l_shipdate") + F.expr("interval 365 days")))
     ends = {"from_": _id("order", "l_orderkey"), "type": F.lit("FOLLOWS_UP"), "to": _id("part", "l_partkey")}
