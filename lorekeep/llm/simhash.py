@@ -7,16 +7,18 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, dealt_anew, map_texts, small_side, table
+from .common import cut, dealt_anew, map_texts, small_side, table, text_of
 from .components import components
 
 SEED = 42
 BITS = 64
 #: Minima per document and per band; 16 bands of 4 find a pair of similarity 0.8 with probability 0.9998.
 MINIMA, ROWS = 64, 4
+#: Cells that count shingles by hash, and how many of them a row holds while they are added up.
+COUNTS, CELLS = 2**18, 2**14
 _A = np.random.default_rng(7).integers(1, 2**63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -120,7 +122,7 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
-# Similarity of word shingles: SimHash finds the closest pairs, MinHash bands the rest down to the threshold.
+# Similarity of word shingles: SimHash and MinHash bands link most pairs, prefixes of rare shingles all that these leave apart.
 
 
 def minima(hashes: np.ndarray) -> np.ndarray:
@@ -166,12 +168,83 @@ def _agreeing(pairs: DataFrame, sets: bool, least: float) -> DataFrame:
     return pairs.select("a", "b", "xa", "xb").mapInArrow(run, "a long, b long")
 
 
+def needed(n: int, similarity: float) -> int:
+    """How many of its n shingles a text must share, at least, with any other of that Jaccard similarity."""
+    return int(np.ceil(similarity * n - 1e-9))
+
+
+def _prefixes(docs: DataFrame, words: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, n (distinct shingles) and rare: its n - needed + 1 first shingles in one fixed order, that of rising frequency.
+
+    Two texts of that similarity share one of them whatever the order is; frequency, counted in COUNTS cells by the
+    shingle's hash, only keeps passages of many texts out of them.
+    """
+
+    def count(batches):
+        total = np.zeros(COUNTS, dtype=np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                hashes = [np.unique(shingle_hashes(t, words)) for t in batch.column(0).slice(at, 512).to_pylist()]
+                total += np.bincount((np.concatenate(hashes) % np.uint64(COUNTS)).astype(np.int64), minlength=COUNTS)
+        yield pa.RecordBatch.from_arrays([pa.array(range(0, COUNTS, CELLS), pa.int32()), pa.array([total[k : k + CELLS].astype("<u4").tobytes() for k in range(0, COUNTS, CELLS)], pa.binary())], names=["cells", "counts"])
+
+    def add(key, rows):
+        total = np.zeros(CELLS, dtype=np.int64)
+        for x in rows.column("counts").to_pylist():
+            total += np.frombuffer(x, "<u4")
+        return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["cells", "counts"])
+
+    form = "cells int, counts binary"
+    cells = docs.select(text_of(text_col).alias("text")).mapInArrow(count, form).groupBy("cells").applyInArrow(add, form).collect()
+    often = np.zeros(COUNTS, dtype=np.int64)
+    for r in cells:
+        often[r["cells"] : r["cells"] + CELLS] = np.frombuffer(r["counts"], "<i8")
+    shared = docs.sparkSession.sparkContext.broadcast(often)
+
+    def make() -> Callable[[list[str]], dict[str, list]]:
+        often = shared.value
+
+        def run(texts: list[str]) -> dict[str, list]:
+            sizes, rare = [], []
+            for t in texts:
+                hashes = np.unique(shingle_hashes(t, words))
+                order = np.lexsort((hashes, often[(hashes % np.uint64(COUNTS)).astype(np.int64)]))
+                sizes.append(len(hashes))
+                rare.append(hashes[order[: len(hashes) - needed(len(hashes), similarity) + 1]].view(np.int64))
+            return {"n": sizes, "rare": rare}
+
+        return run
+
+    return map_texts(docs, make, "n int, rare array<long>", id_col, text_col)
+
+
+def prefix_pairs(docs: DataFrame, groups: DataFrame, words: int, similarity: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Pairs a < b of ids in different groups, with every one of that Jaccard similarity among them.
+
+    groups (id, grp) lists the ids that are not a group of their own; a null grp leaves an id out. The join is on a
+    shared shingle of the prefixes; at the first one that two texts share, no more can follow in either than remain
+    there, so pairs for which that is too few do not leave it. Shingles of one group only do not enter it.
+    """
+    first = _prefixes(docs.where(F.col(id_col).isNotNull()), words, similarity, id_col, text_col)
+    rows = first.join(small_side(groups, groups.count()), first["doc_id"] == groups["id"], "left").where("id is null or grp is not null")
+    keyed = rows.select("doc_id", F.coalesce("grp", "doc_id").alias("grp"), "n", F.posexplode("rare").alias("at", "shingle"))
+    of_shingle = Window.partitionBy("shingle")
+    mixed = keyed.withColumn("lo", F.min("grp").over(of_shingle)).withColumn("hi", F.max("grp").over(of_shingle)).where("lo <> hi")
+    kept = cut(mixed.select("shingle", F.col("doc_id").alias("id"), "grp", "n", (F.col("n") - F.col("at")).alias("remain")))
+    a, b = (kept.select("shingle", *(F.col(c).alias(f"{c}_{side}") for c in ("id", "grp", "n", "remain"))) for side in "ab")
+    enough = F.least("remain_a", "remain_b") * (1 + similarity) >= similarity * (F.col("n_a") + F.col("n_b")) - 1e-6
+    met = a.join(b.hint("merge"), (a["shingle"] == b["shingle"]) & (F.col("id_a") < F.col("id_b")) & (F.col("grp_a") != F.col("grp_b")) & enough)
+    return met.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+
+
 def similar_links(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits: int = 4, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(classes doc_id -> least id of its sketch, links between least ids whose shingle sets have that Jaccard similarity).
 
-    Candidates are SimHash links and, for each MinHash band, a star from the smallest and one from the largest id
-    that share it, so a bucket of any size gives two edges a member and no pairs within it. Sketches of 64 minima drop
-    candidates more than three deviations under the threshold; the exact similarity of the sets decides the rest.
+    The links are enough for the groups: any two classes of that similarity are in one component of them. First come
+    SimHash links and, for each MinHash band, a star from the smallest and one from the largest id that share it, so
+    a bucket of any size gives two edges a member; sketches of 64 minima drop those more than three deviations under
+    the threshold. What these leave in different components meets by its rare shingles (prefix_pairs), which misses
+    no pair. The exact similarity of the sets decides all.
     """
     rows = cut(_sketches(docs.where(F.col(id_col).isNotNull()), words, id_col, text_col))
     # equal shingle sets have equal minima: one class each
@@ -193,11 +266,19 @@ def similar_links(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits
     def make() -> Callable[[list[str]], dict[str, list]]:
         return lambda texts: {"x": [np.unique(shingle_hashes(t, words)).astype("<u8").tobytes() for t in texts]}
 
-    ids = likely.select(F.col("a").alias(id_col)).union(likely.select("b")).distinct()
-    n = ids.count()
-    sets = map_texts(docs.join(small_side(ids, n), id_col, "left_semi"), make, "x binary", id_col, text_col).dropDuplicates(["doc_id"])
-    full = likely.join(sets.select(dealt_anew(F.col("doc_id")).alias("a"), F.col("x").alias("xa")), "a").join(sets.select(dealt_anew(F.col("doc_id")).alias("b"), F.col("x").alias("xb")), "b")
-    return member, _agreeing(full, True, similarity)
+    def exact(pairs: DataFrame, deal: Callable[[Column], Column]) -> DataFrame:
+        ids = pairs.select(F.col("a").alias(id_col)).union(pairs.select("b")).distinct()
+        n = ids.count()
+        sets = map_texts(docs.join(small_side(ids, n), id_col, "left_semi"), make, "x binary", id_col, text_col).dropDuplicates(["doc_id"])
+        full = pairs.join(sets.select(deal(F.col("doc_id")).alias("a"), F.col("x").alias("xa")), "a").join(sets.select(deal(F.col("doc_id")).alias("b"), F.col("x").alias("xb")), "b")
+        return cut(_agreeing(full, True, similarity))
+
+    links = exact(likely, dealt_anew)  # stars have hot ends
+    of = components(links)
+    others = member.where("doc_id <> least").select("doc_id").distinct().join(classes.select(F.col("id").alias("doc_id")), "doc_id", "left_anti")
+    groups = cut(of.where("node <> component").select(F.col("node").alias("id"), F.col("component").alias("grp")).union(others.select("doc_id", F.lit(None).cast("long"))))
+    # few pairs a text are left here: the sets stay where dropping repeated ids put them, and move once
+    return member, links.union(exact(cut(prefix_pairs(docs, groups, words, similarity, id_col, text_col)), lambda c: c))
 
 
 def near_dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -141,3 +141,23 @@ def test_near_dedup_on_odd_rows(odd):
     out = S.near_dedup(odd)
     assert out.columns == odd.columns
     assert sorted(str(r["doc_id"]) for r in out.collect()) == ["1", "3", "3", "5", "6", "None"]
+
+
+def passage_and_pairs(docs, shared, pairs, edits):
+    """Texts that share one passage of so many of 200 words, and pairs among them, in the middle of the ids, that differ in a few words."""
+    passage = prose(999, shared).split()
+    texts = {k: " ".join(passage + prose(1000 + k, 200 - shared).split()) for k in range(docs)}
+    for p in range(pairs):
+        a, b = docs // 4 + p, docs // 2 + p
+        w = texts[a].split()
+        for e in range(edits):
+            w[shared + 2 + e * 7] = f"edit{p}x{e}"
+        texts[b] = " ".join(w)
+    return texts
+
+
+def test_near_dedup_finds_pairs_in_a_crowd_that_shares_a_passage(frame):
+    texts = passage_and_pairs(400, 170, 60, 4)
+    assert all(0.8 <= jaccard(texts[100 + p], texts[200 + p]) < 0.85 for p in range(60)) and jaccard(texts[0], texts[1]) < 0.8
+    kept = {r["doc_id"] for r in S.near_dedup(frame(texts)).collect()}
+    assert kept == set(texts) - set(range(200, 260))
