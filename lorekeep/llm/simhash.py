@@ -136,18 +136,19 @@ def minima(hashes: np.ndarray) -> np.ndarray:
 def _sketches(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
     def make() -> Callable[[list[str]], dict[str, list]]:
         def run(texts: list[str]) -> dict[str, list]:
-            fps, bands, sketches = [], [], []
+            keys, fps, bands, sketches = [], [], [], []
             for t in texts:
                 hashes = shingle_hashes(t, words)
                 least = minima(hashes)
+                keys.append(xxhash.xxh3_128_digest(np.unique(hashes).astype("<u8").tobytes()))
                 fps.append(signed(fingerprint(hashes)))
                 bands.append([signed(xxhash.xxh64_intdigest(least[k : k + ROWS].tobytes(), k)) for k in range(0, MINIMA, ROWS)])
                 sketches.append((least >> np.uint64(32)).astype("<u4").tobytes())
-            return {"fp": fps, "bands": bands, "sketch": sketches}
+            return {"key": keys, "fp": fps, "bands": bands, "sketch": sketches}
 
         return run
 
-    return map_texts(docs, make, "fp long, bands array<long>, sketch binary", id_col, text_col)
+    return map_texts(docs, make, "key binary, fp long, bands array<long>, sketch binary", id_col, text_col)
 
 
 def _agreeing(pairs: DataFrame, sets: bool, least: float) -> DataFrame:
@@ -238,7 +239,7 @@ def prefix_pairs(docs: DataFrame, groups: DataFrame, words: int, similarity: flo
 
 
 def similar_links(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits: int = 4, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(classes doc_id -> least id of its sketch, links between least ids whose shingle sets have that Jaccard similarity).
+    """(classes doc_id -> least id of its shingle set, links between least ids whose shingle sets have that Jaccard similarity).
 
     The links are enough for the groups: any two classes of that similarity are in one component of them. First come
     SimHash links and, for each MinHash band, a star from the smallest and one from the largest id that share it, so
@@ -247,10 +248,9 @@ def similar_links(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits
     no pair. The exact similarity of the sets decides all.
     """
     rows = cut(_sketches(docs.where(F.col(id_col).isNotNull()), words, id_col, text_col))
-    # equal shingle sets have equal minima: one class each
-    classes = rows.groupBy("fp", "sketch").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"))
-    classes = cut(classes)
-    member = rows.join(classes.select("fp", "sketch", "id"), ["fp", "sketch"]).select("doc_id", F.col("id").alias("least"))
+    # a class is one shingle set, by its 128-bit hash; texts with equal sketches only are other classes
+    classes = cut(rows.groupBy("key").agg(F.min("doc_id").alias("id"), *(F.first(c).alias(c) for c in ("fp", "bands", "sketch"))))
+    member = rows.select("key", "doc_id").join(classes.select("key", "id"), "key").select("doc_id", F.col("id").alias("least"))
     by_fp = classes.groupBy("fp").agg(F.min("id").alias("id"))
     near = fingerprint_links(by_fp.select("fp"), bits)
     near = near.join(by_fp.select(F.col("fp").alias("a"), F.col("id").alias("ia")), "a").join(by_fp.select(F.col("fp").alias("b"), F.col("id").alias("ib")), "b")

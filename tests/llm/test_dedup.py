@@ -161,3 +161,23 @@ def test_near_dedup_finds_pairs_in_a_crowd_that_shares_a_passage(frame):
     assert all(0.8 <= jaccard(texts[100 + p], texts[200 + p]) < 0.85 for p in range(60)) and jaccard(texts[0], texts[1]) < 0.8
     kept = {r["doc_id"] for r in S.near_dedup(frame(texts)).collect()}
     assert kept == set(texts) - set(range(200, 260))
+
+
+def test_near_dedup_compares_each_shingle_set_of_an_equal_sketch(frame):
+    """2 is 1 with one word edited, has its fingerprint and minima, and alone is similar enough to 3."""
+    words = prose(4, 40_000).split()
+    h = S.shingle_hashes(" ".join(words), 5)
+    for at in range(len(words) - 40, 0, -40):
+        other = [*words[:at], "edited", *words[at + 1 :]]
+        g = S.shingle_hashes(" ".join(other), 5)
+        if S.fingerprint(h) == S.fingerprint(g) and (S.minima(h) == S.minima(g)).all():
+            break
+    n = len(set(g.tolist()))
+    third, edits = list(other), 0
+    for e in range(7, len(words) - 5, 7):
+        if abs(e - at) > 10 and n - 5 * (edits + 1) >= 0.8 * (n + 5 * (edits + 1)):
+            third[e] = f"new{e}"
+            edits += 1
+    texts = {1: " ".join(words), 2: " ".join(other), 3: " ".join(third)}
+    assert jaccard(texts[1], texts[3]) < 0.8 <= jaccard(texts[2], texts[3])
+    assert {r["doc_id"] for r in S.near_dedup(frame(texts)).collect()} == {1}
