@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -112,16 +113,22 @@ def bfs(seeds: DataFrame, links: DataFrame, depth: int = 3) -> DataFrame:
     return reached
 
 
-def closure(roots: DataFrame, links: DataFrame, most: int = 64) -> DataFrame:
-    """(root, id, depth): everything that roots (id) reach along links, themselves at depth 0; stops when nothing is new."""
+def closure(roots: DataFrame, links: DataFrame, most: int | None = None) -> DataFrame:
+    """(root, id, depth): everything that roots (id) reach along links, themselves at depth 0; stops when nothing is new.
+
+    most bounds the steps where the caller asks for it; without it they end when the frontier is empty, after at most
+    as many steps as there are nodes. Levels are settled into one every 16 steps, so that long chains keep short plans.
+    """
     links = settle(links)
     reached = frontier = settle(roots.select(F.col("id").alias("root"), "id", F.lit(0).alias("depth")).distinct())
-    for level in range(1, most + 1):
+    for level in count(1) if most is None else range(1, most + 1):
         step = frontier.join(links, frontier["id"] == links["from"]).select("root", F.col("to").alias("id")).distinct()
         frontier = settle(step.join(reached, ["root", "id"], "left_anti").select("root", "id", F.lit(level).alias("depth")))
         if frontier.isEmpty():
             break
         reached = reached.union(frontier)
+        if level % 16 == 0:
+            reached = settle(reached)
     return reached
 
 

@@ -4,6 +4,7 @@ import json
 
 import pytest
 
+from lorekeep.operators import evidence as E
 from lorekeep.operators import graph as G
 from lorekeep.operators import retrieval as R
 
@@ -108,3 +109,18 @@ def test_cycles_end(spark):
     links = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a")], "`from` string, `to` string")
     got = {(r["id"], r["depth"]) for r in G.closure(spark.createDataFrame([("a",)], "id string"), links).collect()}
     assert got == {("a", 0), ("b", 1), ("c", 2)}
+
+
+def test_histories_longer_than_64_steps_keep_their_ancestors(spark):
+    """Two branches of 35 and 70 supersessions from one decision: only the whole closure sees that they compete."""
+    chains = [["root", *(f"{side}{k:02}" for k in range(n))] for side, n in (("a", 35), ("b", 70))]
+    old = {new: before for chain in chains for before, new in zip(chain, chain[1:], strict=False)}
+    history = spark.createDataFrame([("t", i, [old[i]] if i in old else []) for i in sorted({x for c in chains for x in c})], "task string, id string, supersedes array<string>")
+    up = {(r["id"], r["ancestor"]) for r in E.ancestors(history, "supersedes").collect()}
+    assert up == {(c[k], c[j]) for c in chains for k in range(len(c)) for j in range(k)}
+    assert [tuple(r) for r in E.competing(history).collect()] == [("t", "a34", "b69")]
+
+
+def test_a_bound_on_steps_holds_where_it_is_asked_for(spark):
+    links = spark.createDataFrame([(k, k + 1) for k in range(9)], "`from` long, `to` long")
+    assert G.closure(spark.createDataFrame([(0,)], "id long"), links, 4).count() == 5
