@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +20,9 @@ BITS = 64
 #: Minima per document and per band; 16 bands of 4 find a pair of similarity 0.8 with probability 0.9998.
 MINIMA, ROWS = 64, 4
 #: Cells that count shingles by hash, and how many of them a row holds while they are added up.
-COUNTS, CELLS = 2**18, 2**14
+COUNTS, CELLS = 2**20, 2**14
+#: Bits of the filter that marks shingles of several groups; where they don't suffice, more shingles are shuffled.
+FILTER = 2**26
 _A = np.random.default_rng(7).integers(1, 2**63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -59,45 +63,58 @@ def fingerprints(docs: DataFrame, words: int, id_col: str = "doc_id", text_col:
     return map_texts(docs, make, "fp long", id_col, text_col)
 
 
-def segments(bits: int) -> list[tuple[int, int]]:
-    """bits // 2 + 1 segments: of two fingerprints that differ in `bits` bits, one differs in at most one bit."""
-    n = bits // 2 + 1
+def segments(bits: int, take: int = 1) -> list[tuple[int, int]]:
+    """Segments of which any two fingerprints that differ in `bits` bits share `take`, but for one bit in all of these."""
+    n = next(n for n in range(take, BITS) if n >= take + bits - 1 and 2 * (n - take + 1) > bits) if take > 1 else bits // 2 + 1
     cuts = [BITS * k // n for k in range(n + 1)]
     return list(zip(cuts, cuts[1:], strict=False))
 
 
-def variant_keys(fp: Column, bits: int) -> Column:
-    """A key for each wildcard: the segment that holds the bit, without it, and above it the bit's number.
+def key_masks(bits: int, classes: int) -> list[int]:
+    """The bits of each kind of signature: of one segment, of two or of three, as few as make more keys than there are classes.
 
-    Two fingerprints share a key at any wildcard of a segment in which they are equal, and at the bit that differs of
-    one in which a single bit does.
+    With keys of at least log2(classes) bits a key is shared by a few classes, so that pairs to verify grow with the classes.
+    """
+    for take in range(1, 4):
+        parts = segments(bits, take)
+        if take == 3 or (BITS * take // len(parts)) - 1 >= math.log2(max(classes, 2)):
+            return [sum(2**hi - 2**lo for lo, hi in some) for some in combinations(parts, take)]
+    raise AssertionError
+
+
+def variant_keys(fp: Column, masks: list[int]) -> Column:
+    """(kind of signature, wildcard bit, the other bits of its mask) for each wildcard.
+
+    Two fingerprints that are equal under a mask share its keys, two that differ there in one bit share the key of that bit.
     """
     keys = []
-    for lo, hi in segments(bits):
-        segment = F.shiftrightunsigned(fp, lo).bitwiseAND(F.lit(2 ** (hi - lo) - 1))
-        keys += [F.lit(bit * 2**32).bitwiseXOR(segment.bitwiseAND(F.lit(2 ** (hi - lo) - 1 - 2 ** (bit - lo)))) for bit in range(lo, hi)]
+    for kind, mask in enumerate(masks):
+        keys += [F.struct(F.lit(kind * BITS + bit).alias("which"), fp.bitwiseAND(F.lit(signed(mask & ~(1 << bit)))).alias("held")) for bit in range(BITS) if mask >> bit & 1]
     return F.array(*keys)
 
 
-def fingerprint_links(fps: DataFrame, bits: int) -> DataFrame:
+def fingerprint_links(fps: DataFrame, bits: int, classes: int | None = None) -> DataFrame:
     """Pairs a < b of distinct fingerprints (column fp) that differ in at most `bits` bits (2 to 60), each once.
 
     The signature join is an equality join that checks the distance as it goes, and takes a pair only at its first
-    shared key (the first segment that differs by at most one bit; its first wildcard if it is equal): only links
-    leave the join, each once. Spark splits its hot keys.
+    shared key (the first mask under which at most one bit differs; its lowest wildcard if none does): only links
+    leave the join, each once. Spark splits its hot keys. classes, if known, says how many rows fps has.
     """
     if not 2 <= bits <= 60:
         raise ValueError("bits is 2 to 60")
-    keyed = fps.select("fp", F.explode(variant_keys(F.col("fp"), bits)).alias("key"))
+    masks = key_masks(bits, fps.count() if classes is None else classes)
+    dealt = fps.select("fp").repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # few rows, many keys each
+    keyed = dealt.select("fp", F.explode(variant_keys(F.col("fp"), masks)).alias("key")).select("fp", "key.which", "key.held")
     a, b = keyed.withColumnRenamed("fp", "a"), keyed.withColumnRenamed("fp", "b")
-    differ, bit = F.col("a").bitwiseXOR(F.col("b")), F.shiftrightunsigned(a["key"], 32)
+    differ, bit = F.col("a").bitwiseXOR(F.col("b")), a["which"] % BITS
     near = (F.col("a") < F.col("b")) & (F.bit_count(differ) <= bits)
     first, earlier = F.lit(False), F.lit(True)
-    for lo, hi in segments(bits):
-        here = differ.bitwiseAND(F.lit(signed(2**hi - 2**lo)))
-        first = first | (bit.between(lo, hi - 1) & earlier & ((here != 0) | (bit == lo)))
+    for kind, mask in enumerate(masks):
+        here = differ.bitwiseAND(F.lit(signed(mask)))
+        lowest = (mask & -mask).bit_length() - 1
+        first = first | (a["which"].between(kind * BITS, kind * BITS + BITS - 1) & earlier & ((here != 0) | (bit == lowest)))
         earlier = earlier & (F.bit_count(here) > 1)
-    return a.join(b.hint("merge"), (a["key"] == b["key"]) & near & first).select("a", "b")
+    return a.join(b.hint("merge"), (a["which"] == b["which"]) & (a["held"] == b["held"]) & near & first).select("a", "b")
 
 
 def simhash_components(docs: DataFrame, words: int = 4, bits: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -109,7 +126,7 @@ def simhash_components(docs: DataFrame, words: int = 4, bits: int = 4, id_col: s
     fingerprint, so a group of any size is one class: links are sought between classes only.
     """
     rows = cut(fingerprints(docs, words, id_col, text_col))
-    classes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    classes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     links = fingerprint_links(classes.select("fp"), bits)
     of = components(links)
     named = classes.join(of, classes["fp"] == of["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
@@ -125,6 +142,32 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Similarity of word shingles: SimHash and MinHash bands link most pairs, prefixes of rare shingles all that these leave apart.
 
 
+class _Words(dict):
+    """A word's 64-bit hash; the words of a task are hashed once while there is room."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 1_000_000:
+            self.clear()
+        self[word] = h = xxhash.xxh64_intdigest(word, SEED)
+        return h
+
+
+def shingle_set(text: str, words: int, memo: dict[bytes, int]) -> np.ndarray:
+    """The distinct shingles of a text, by 64-bit hashes that its words' hashes give with whole arrays, in order."""
+    parts = text.encode("utf-8", "surrogatepass").lower().split()
+    if not parts:
+        return np.empty(0, dtype=np.uint64)
+    h = np.fromiter(map(memo.__getitem__, parts), dtype=np.uint64, count=len(parts))
+    run = min(words, len(parts))
+    out = np.full(len(parts) - run + 1, run, dtype=np.uint64)
+    for k in range(run):
+        out += h[k : len(h) - run + k + 1] * _A[k % MINIMA]
+    out ^= out >> np.uint64(31)
+    out *= np.uint64(0x9E3779B97F4A7C15)
+    out ^= out >> np.uint64(29)
+    return np.unique(out)
+
+
 def minima(hashes: np.ndarray) -> np.ndarray:
     """The least of MINIMA hash functions over the shingles."""
     out = np.full(MINIMA, np.iinfo(np.uint64).max, dtype=np.uint64)
@@ -133,22 +176,61 @@ def minima(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
+_SKETCH = "doc_id long, key binary, fp long, bands array<long>, sketch binary, cells int, counts binary"
+
+
 def _sketches(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    def make() -> Callable[[list[str]], dict[str, list]]:
-        def run(texts: list[str]) -> dict[str, list]:
-            keys, fps, bands, sketches = [], [], [], []
-            for t in texts:
-                hashes = shingle_hashes(t, words)
-                least = minima(hashes)
-                keys.append(xxhash.xxh3_128_digest(np.unique(hashes).astype("<u8").tobytes()))
-                fps.append(signed(fingerprint(hashes)))
-                bands.append([signed(xxhash.xxh64_intdigest(least[k : k + ROWS].tobytes(), k)) for k in range(0, MINIMA, ROWS)])
-                sketches.append((least >> np.uint64(32)).astype("<u4").tobytes())
-            return {"key": keys, "fp": fps, "bands": bands, "sketch": sketches}
+    """A row for each text (key: its shingle set), and, with a null key, how many texts of a task hold the shingles of each cell."""
+    from pyspark.sql.pandas.types import to_arrow_schema
 
-        return run
+    form = to_arrow_schema(docs.sparkSession.createDataFrame([], _SKETCH).schema)
+
+    def run(batches):
+        memo, total = _Words(), np.zeros(COUNTS, dtype=np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                keys, fps, bands, sketches = [], [], [], []
+                for t in part.column(1).to_pylist():
+                    hashes = shingle_set(t, words, memo)
+                    least = minima(hashes)
+                    keys.append(xxhash.xxh3_128_digest(hashes.astype("<u8").tobytes()))
+                    fps.append(signed(fingerprint(hashes)))
+                    bands.append([signed(xxhash.xxh64_intdigest(least[k : k + ROWS].tobytes(), k)) for k in range(0, MINIMA, ROWS)])
+                    sketches.append((least >> np.uint64(56)).astype("u1").tobytes())
+                    np.add.at(total, (hashes % np.uint64(COUNTS)).astype(np.int64), 1)
+                none = [None] * len(keys)
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip([part.column(0), keys, fps, bands, sketches, none, none], form, strict=True)], schema=form)
+        cells = range(0, COUNTS, CELLS)
+        none = [None] * len(cells)
+        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip([none, none, none, none, none, cells, [_narrow(total[k : k + CELLS]) for k in cells]], form, strict=True)], schema=form)
 
-    return map_texts(docs, make, "key binary, fp long, bands array<long>, sketch binary", id_col, text_col)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(run, _SKETCH)
+
+
+def _narrow(counts: np.ndarray) -> bytes:
+    """The counts in as few bytes each as hold the largest, that number first."""
+    size = next(n for n in (1, 2, 4, 8) if int(counts.max(initial=0)) < 256**n)
+    return bytes([size]) + counts.astype(f"<u{size}").tobytes()
+
+
+def _wide(held: bytes) -> np.ndarray:
+    return np.frombuffer(held, f"<u{held[0]}", offset=1).astype(np.int64)
+
+
+def _frequencies(sketches: DataFrame) -> np.ndarray:
+    """How many texts hold the shingles of each of COUNTS cells: a table of bounded size, summed in parts."""
+
+    def add(key, rows):
+        total = np.zeros(CELLS, dtype=np.int64)
+        for x in rows.column("counts").to_pylist():
+            total += _wide(x)
+        return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([_narrow(total)], pa.binary())], names=["cells", "counts"])
+
+    often = np.zeros(COUNTS, dtype=np.int64)
+    for r in sketches.where("key is null").select("cells", "counts").groupBy("cells").applyInArrow(add, "cells int, counts binary").collect():
+        often[r["cells"] : r["cells"] + CELLS] = _wide(r["counts"])
+    return often
 
 
 def _agreeing(pairs: DataFrame, sets: bool, least: float) -> DataFrame:
@@ -163,7 +245,7 @@ def _agreeing(pairs: DataFrame, sets: bool, least: float) -> DataFrame:
                     both = len(np.intersect1d(p, q, assume_unique=True))
                     keep.append(both >= least * (len(p) + len(q) - both) - 1e-9)
                 else:
-                    keep.append(float(np.mean(np.frombuffer(x, "<u4") == np.frombuffer(y, "<u4"))) >= least)
+                    keep.append(float(np.mean(np.frombuffer(x, "u1") == np.frombuffer(y, "u1"))) >= least)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return pairs.select("a", "b", "xa", "xb").mapInArrow(run, "a long, b long")
@@ -174,64 +256,61 @@ def needed(n: int, similarity: float) -> int:
     return int(np.ceil(similarity * n - 1e-9))
 
 
-def _prefixes(docs: DataFrame, words: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n (distinct shingles) and rare: its n - needed + 1 first shingles in one fixed order, that of rising frequency.
+def _prefixes(docs: DataFrame, often: np.ndarray, words: int, similarity: float, id_col: str, text_col: str, only: np.ndarray | None = None) -> DataFrame:
+    """doc_id, n (distinct shingles) and rare (at, shingle): its n - needed + 1 first shingles in one fixed order, that of rising frequency.
 
-    Two texts of that similarity share one of them whatever the order is; frequency, counted in COUNTS cells by the
-    shingle's hash, only keeps passages of many texts out of them.
+    Two texts of that similarity share one of them whatever the order is; frequency, counted in cells by the
+    shingle's hash, only keeps passages of many texts out of them. only: bits of the shingles that are wanted at all.
     """
-
-    def count(batches):
-        total = np.zeros(COUNTS, dtype=np.int64)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                hashes = [np.unique(shingle_hashes(t, words)) for t in batch.column(0).slice(at, 512).to_pylist()]
-                total += np.bincount((np.concatenate(hashes) % np.uint64(COUNTS)).astype(np.int64), minlength=COUNTS)
-        yield pa.RecordBatch.from_arrays([pa.array(range(0, COUNTS, CELLS), pa.int32()), pa.array([total[k : k + CELLS].astype("<u4").tobytes() for k in range(0, COUNTS, CELLS)], pa.binary())], names=["cells", "counts"])
-
-    def add(key, rows):
-        total = np.zeros(CELLS, dtype=np.int64)
-        for x in rows.column("counts").to_pylist():
-            total += np.frombuffer(x, "<u4")
-        return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["cells", "counts"])
-
-    form = "cells int, counts binary"
-    cells = docs.select(text_of(text_col).alias("text")).mapInArrow(count, form).groupBy("cells").applyInArrow(add, form).collect()
-    often = np.zeros(COUNTS, dtype=np.int64)
-    for r in cells:
-        often[r["cells"] : r["cells"] + CELLS] = np.frombuffer(r["counts"], "<i8")
-    shared = docs.sparkSession.sparkContext.broadcast(often)
+    shared = docs.sparkSession.sparkContext.broadcast((often, only))
 
     def make() -> Callable[[list[str]], dict[str, list]]:
-        often = shared.value
+        (often, only), memo = shared.value, _Words()
 
         def run(texts: list[str]) -> dict[str, list]:
             sizes, rare = [], []
             for t in texts:
-                hashes = np.unique(shingle_hashes(t, words))
-                order = np.lexsort((hashes, often[(hashes % np.uint64(COUNTS)).astype(np.int64)]))
+                hashes = shingle_set(t, words, memo)
+                count = len(hashes) - needed(len(hashes), similarity) + 1
+                how = often[(hashes % np.uint64(COUNTS)).astype(np.int64)]
+                order = np.lexsort((hashes, how))[:count]
+                at, first = np.arange(len(order)), hashes[order]
+                if only is not None:
+                    bit = first % np.uint64(FILTER)
+                    held = (only[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)
+                    at, first = at[held], first[held]
                 sizes.append(len(hashes))
-                rare.append(hashes[order[: len(hashes) - needed(len(hashes), similarity) + 1]].view(np.int64))
+                rare.append([{"at": i, "shingle": s} for i, s in zip(at.tolist(), first.view(np.int64).tolist(), strict=True)] if only is not None else first.view(np.int64))
             return {"n": sizes, "rare": rare}
 
         return run
 
-    return map_texts(docs, make, "n int, rare array<long>", id_col, text_col)
+    return map_texts(docs, make, "n int, rare array<struct<at:int,shingle:bigint>>" if only is not None else "n int, rare array<bigint>", id_col, text_col)
 
 
-def prefix_pairs(docs: DataFrame, groups: DataFrame, words: int, similarity: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def prefix_pairs(docs: DataFrame, often: np.ndarray, groups: DataFrame, words: int, similarity: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pairs a < b of ids in different groups, with every one of that Jaccard similarity among them.
 
-    groups (id, grp) lists the ids that are not a group of their own; a null grp leaves an id out. The join is on a
-    shared shingle of the prefixes; at the first one that two texts share, no more can follow in either than remain
-    there, so pairs for which that is too few do not leave it. Shingles of one group only do not enter it.
+    groups (id, grp) lists the ids that are not a group of their own; a null grp leaves an id out. A first pass sums
+    the prefixes' shingles map-side to the ends of the groups that hold each, and sets a bit in a filter of bounded size for
+    those of several groups; a second pass emits only shingles with that bit, which few texts have. The join is
+    on a shared shingle; at the first one that two texts share, no more can follow in either than remain
+    there, so pairs for which that is too few do not leave it.
     """
-    first = _prefixes(docs.where(F.col(id_col).isNotNull()), words, similarity, id_col, text_col)
-    rows = first.join(small_side(groups, groups.count()), first["doc_id"] == groups["id"], "left").where("id is null or grp is not null")
-    keyed = rows.select("doc_id", F.coalesce("grp", "doc_id").alias("grp"), "n", F.posexplode("rare").alias("at", "shingle"))
-    of_shingle = Window.partitionBy("shingle")
-    mixed = keyed.withColumn("lo", F.min("grp").over(of_shingle)).withColumn("hi", F.max("grp").over(of_shingle)).where("lo <> hi")
-    kept = cut(mixed.select("shingle", F.col("doc_id").alias("id"), "grp", "n", (F.col("n") - F.col("at")).alias("remain")))
+    named = docs.where(F.col(id_col).isNotNull())
+    groups = small_side(groups, groups.count())
+
+    def of_groups(first: DataFrame) -> DataFrame:
+        return first.join(groups, first["doc_id"] == groups["id"], "left").where("id is null or grp is not null").withColumn("grp", F.coalesce("grp", "doc_id"))
+
+    held = of_groups(_prefixes(named, often, words, similarity, id_col, text_col)).select("grp", F.explode("rare").alias("shingle"))
+    mixed = held.groupBy("shingle").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo <> hi")
+    bit = F.col("shingle").bitwiseAND(F.lit(FILTER - 1))
+    only = np.zeros(FILTER // 64, dtype=np.uint64)
+    for r in mixed.select(F.shiftright(bit, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int")).alias("mask")).groupBy("word").agg(F.bit_or("mask").alias("mask")).collect():
+        only[r["word"]] = r["mask"] & (2**64 - 1)
+    rare = of_groups(_prefixes(named, often, words, similarity, id_col, text_col, only)).select("doc_id", "grp", "n", F.explode("rare").alias("r"))
+    kept = cut(rare.select("r.shingle", F.col("doc_id").alias("id"), "grp", "n", (F.col("n") - F.col("r.at")).alias("remain")))
     a, b = (kept.select("shingle", *(F.col(c).alias(f"{c}_{side}") for c in ("id", "grp", "n", "remain"))) for side in "ab")
     enough = F.least("remain_a", "remain_b") * (1 + similarity) >= similarity * (F.col("n_a") + F.col("n_b")) - 1e-6
     met = a.join(b.hint("merge"), (a["shingle"] == b["shingle"]) & (F.col("id_a") < F.col("id_b")) & (F.col("grp_a") != F.col("grp_b")) & enough)
@@ -247,24 +326,26 @@ def similar_links(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits
     the threshold. What these leave in different components meets by its rare shingles (prefix_pairs), which misses
     no pair. The exact similarity of the sets decides all.
     """
-    rows = cut(_sketches(docs.where(F.col(id_col).isNotNull()), words, id_col, text_col))
+    made = cut(_sketches(docs.where(F.col(id_col).isNotNull()), words, id_col, text_col))
+    often, rows = _frequencies(made), made.where("key is not null")
     # a class is one shingle set, by its 128-bit hash; texts with equal sketches only are other classes
     classes = cut(rows.groupBy("key").agg(F.min("doc_id").alias("id"), *(F.first(c).alias(c) for c in ("fp", "bands", "sketch"))))
     member = rows.select("key", "doc_id").join(classes.select("key", "id"), "key").select("doc_id", F.col("id").alias("least"))
-    by_fp = classes.groupBy("fp").agg(F.min("id").alias("id"))
+    by_fp = cut(classes.groupBy("fp").agg(F.min("id").alias("id")))
     near = fingerprint_links(by_fp.select("fp"), bits)
     near = near.join(by_fp.select(F.col("fp").alias("a"), F.col("id").alias("ia")), "a").join(by_fp.select(F.col("fp").alias("b"), F.col("id").alias("ib")), "b")
     same = classes.join(by_fp.select("fp", F.col("id").alias("ib")), "fp").where("id <> ib").select(F.col("id").alias("ia"), "ib")
     banded = classes.select("id", F.explode("bands").alias("band"))
     ends = banded.groupBy("band").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi")
-    star = banded.join(ends, "band").select(F.col("id").alias("ia"), F.explode(F.array("lo", "hi")).alias("ib"))
+    star = banded.join(ends.withColumn("band", dealt_anew(F.col("band"))), "band").select(F.col("id").alias("ia"), F.explode(F.array("lo", "hi")).alias("ib"))
     pairs = near.select("ia", "ib").union(same).union(star).where("ia <> ib").select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b")).distinct()
     s = classes.select("id", "sketch")
     sketched = pairs.join(s.select(F.col("id").alias("a"), F.col("sketch").alias("xa")), "a").join(s.select(F.col("id").alias("b"), F.col("sketch").alias("xb")), "b")
     likely = cut(_agreeing(sketched, False, similarity - 3 * (similarity * (1 - similarity) / MINIMA) ** 0.5))
 
     def make() -> Callable[[list[str]], dict[str, list]]:
-        return lambda texts: {"x": [np.unique(shingle_hashes(t, words)).astype("<u8").tobytes() for t in texts]}
+        memo = _Words()
+        return lambda texts: {"x": [shingle_set(t, words, memo).astype("<u8").tobytes() for t in texts]}
 
     def exact(pairs: DataFrame, deal: Callable[[Column], Column]) -> DataFrame:
         ids = pairs.select(F.col("a").alias(id_col)).union(pairs.select("b")).distinct()
@@ -278,7 +359,7 @@ def similar_links(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits
     others = member.where("doc_id <> least").select("doc_id").distinct().join(classes.select(F.col("id").alias("doc_id")), "doc_id", "left_anti")
     groups = cut(of.where("node <> component").select(F.col("node").alias("id"), F.col("component").alias("grp")).union(others.select("doc_id", F.lit(None).cast("long"))))
     # few pairs a text are left here: the sets stay where dropping repeated ids put them, and move once
-    return member, links.union(exact(cut(prefix_pairs(docs, groups, words, similarity, id_col, text_col)), lambda c: c))
+    return member, links.union(exact(cut(prefix_pairs(docs, often, groups, words, similarity, id_col, text_col)), lambda c: c))
 
 
 def near_dedup(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

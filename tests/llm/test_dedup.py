@@ -163,6 +163,49 @@ def test_near_dedup_finds_pairs_in_a_crowd_that_shares_a_passage(frame):
     assert kept == set(texts) - set(range(200, 260))
 
 
+def components_of(texts):
+    """The smallest id of each text's group, by the exact similarity of all pairs."""
+    comp = {i: i for i in texts}
+    up = lambda i: i if comp[i] == i else up(comp[i])
+    sets = {i: frozenset(S.shingle_hashes(t or "", 5).tolist()) for i, t in texts.items()}
+    for a in texts:
+        for b in texts:
+            x, y = sets[a], sets[b]
+            if a < b and len(x & y) >= 0.8 * len(x | y):
+                p, q = up(a), up(b)
+                comp[max(p, q)] = min(p, q)
+    return {i: up(i) for i in texts}
+
+
+def test_near_dedup_finds_all_links_of_large_families(frame):
+    """150 versions of a text, each with its own three edits: few pairs are similar enough, and those must not be missed."""
+    texts = {k * 150 + e: near(k * 1_000 + 1, 150, 0) for k in range(4) for e in range(150)}
+    for i in texts:
+        rng, w = random.Random(i), texts[i].split()
+        for n, at in enumerate(rng.sample(range(len(w)), 3)):
+            w[at] = f"own{i}x{n}"
+        texts[i] = " ".join(w)
+    comp = components_of(texts)
+    kept = {r["doc_id"] for r in S.near_dedup(frame(texts)).collect()}
+    assert kept == {i for i in texts if comp[i] == i} and 300 < len(kept) < 590
+
+
+@pytest.mark.parametrize(("bits", "classes"), [(4, 2), (4, 2**23), (4, 2**40), (3, 2**23), (6, 2**23)])
+def test_longer_keys_lose_no_link(spark, bits, classes):
+    """More classes take longer signatures, of two or three segments, which find the same links."""
+    rng = np.random.default_rng(classes % 97)
+    fps = {int(f) for f in rng.integers(0, 2**63, 20, dtype=np.uint64)}
+    for f in list(fps):
+        for n in range(1, bits + 3):
+            fps.add(f ^ int(sum(1 << int(b) for b in rng.choice(64, n, replace=False))))
+    fps = sorted(S.signed(f) for f in fps)
+    want = sorted((a, b) for k, a in enumerate(fps) for b in fps[k + 1 :] if bin((a ^ b) & (2**64 - 1)).count("1") <= bits)
+    got = sorted((r["a"], r["b"]) for r in S.fingerprint_links(spark.createDataFrame([(f,) for f in fps], "fp long"), bits, classes).collect())
+    assert got == want
+    held = min(bin(m).count("1") for m in S.key_masks(4, 2**23))
+    assert held > 23 and len(S.key_masks(4, 2)) == 3
+
+
 def test_near_dedup_compares_each_shingle_set_of_an_equal_sketch(frame):
     """2 is 1 with one word edited, has its fingerprint and minima, and alone is similar enough to 3."""
     words = prose(4, 40_000).split()
