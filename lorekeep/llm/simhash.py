@@ -24,6 +24,14 @@ COUNTS, CELLS = 2**20, 2**14
 #: Bits of the filter that marks shingles of several groups; where they don't suffice, more shingles are shuffled.
 FILTER = 2**26
 _A = np.random.default_rng(7).integers(1, 2**63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Bytes of words that are hashed together, and the numbers of that: for each byte, powers of an odd base and of its inverse.
+SPAN = 2**16
+_BYTE = np.random.default_rng(11).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BASE = 0x5851F42D4C957F2D
+_POWER = np.multiply.accumulate(np.full(SPAN, _BASE, dtype=np.uint64))
+_INVERSE = np.multiply.accumulate(np.full(SPAN, pow(_BASE, -1, 2**64), dtype=np.uint64))
+_NONE = np.zeros(1, dtype=np.uint64)
+_BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 
 
 def shingle_hashes(text: str, words: int) -> np.ndarray:
@@ -142,30 +150,40 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Similarity of word shingles: SimHash and MinHash bands link most pairs, prefixes of rare shingles all that these leave apart.
 
 
-class _Words(dict):
-    """A word's 64-bit hash; the words of a task are hashed once while there is room."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word, SEED)
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return h ^ (h >> np.uint64(29))
+
+
+def word_hashes(data: bytes) -> np.ndarray:
+    """64-bit hashes of the runs without ASCII white space: polynomials of their bytes, from running sums over whole spans."""
+    held = np.frombuffer(data, dtype=np.uint8)
+    edges = np.flatnonzero(np.diff((~_BLANK[held]).view(np.int8), prepend=0, append=0))
+    starts, ends = edges[::2], edges[1::2]
+    out, k = np.empty(len(starts), dtype=np.uint64), 0
+    while k < len(starts):
+        last = max(k + 1, int(np.searchsorted(ends, starts[k] + SPAN, side="right")))
+        lo, hi = int(starts[k]), int(ends[last - 1])
+        if hi - lo > SPAN:  # a single long word
+            out[k] = xxhash.xxh64_intdigest(data[lo:hi], SEED)
+        else:
+            sums = np.concatenate((_NONE, np.cumsum(_BYTE[held[lo:hi]] * _POWER[: hi - lo], dtype=np.uint64)))
+            out[k:last] = (sums[ends[k:last] - lo] - sums[starts[k:last] - lo]) * _INVERSE[starts[k:last] - lo]
+        k = last
+    return _mixed(out ^ (ends - starts).astype(np.uint64) * _A[0])
+
+
+def shingle_set(text: str, words: int) -> np.ndarray:
+    """The distinct shingles of a text (A-Z lower-cased; fewer words: all of them), by 64-bit hashes that its words' hashes give, in order."""
+    h = word_hashes(text.encode("utf-8", "surrogatepass").lower())
+    if not len(h):
         return h
-
-
-def shingle_set(text: str, words: int, memo: dict[bytes, int]) -> np.ndarray:
-    """The distinct shingles of a text, by 64-bit hashes that its words' hashes give with whole arrays, in order."""
-    parts = text.encode("utf-8", "surrogatepass").lower().split()
-    if not parts:
-        return np.empty(0, dtype=np.uint64)
-    h = np.fromiter(map(memo.__getitem__, parts), dtype=np.uint64, count=len(parts))
-    run = min(words, len(parts))
-    out = np.full(len(parts) - run + 1, run, dtype=np.uint64)
+    run = min(words, len(h))
+    out = np.full(len(h) - run + 1, run, dtype=np.uint64)
     for k in range(run):
         out += h[k : len(h) - run + k + 1] * _A[k % MINIMA]
-    out ^= out >> np.uint64(31)
-    out *= np.uint64(0x9E3779B97F4A7C15)
-    out ^= out >> np.uint64(29)
-    return np.unique(out)
+    out = np.sort(_mixed(out))
+    return out[np.concatenate(([True], out[1:] != out[:-1]))]
 
 
 def minima(hashes: np.ndarray) -> np.ndarray:
@@ -186,13 +204,13 @@ def _sketches(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFr
     form = to_arrow_schema(docs.sparkSession.createDataFrame([], _SKETCH).schema)
 
     def run(batches):
-        memo, total = _Words(), np.zeros(COUNTS, dtype=np.int64)
+        total = np.zeros(COUNTS, dtype=np.int64)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 keys, fps, bands, sketches = [], [], [], []
                 for t in part.column(1).to_pylist():
-                    hashes = shingle_set(t, words, memo)
+                    hashes = shingle_set(t, words)
                     least = minima(hashes)
                     keys.append(xxhash.xxh3_128_digest(hashes.astype("<u8").tobytes()))
                     fps.append(signed(fingerprint(hashes)))
@@ -265,12 +283,12 @@ def _prefixes(docs: DataFrame, often: np.ndarray, words: int, similarity: float,
     shared = docs.sparkSession.sparkContext.broadcast((often, only))
 
     def make() -> Callable[[list[str]], dict[str, list]]:
-        (often, only), memo = shared.value, _Words()
+        often, only = shared.value
 
         def run(texts: list[str]) -> dict[str, list]:
             sizes, rare = [], []
             for t in texts:
-                hashes = shingle_set(t, words, memo)
+                hashes = shingle_set(t, words)
                 count = len(hashes) - needed(len(hashes), similarity) + 1
                 how = often[(hashes % np.uint64(COUNTS)).astype(np.int64)]
                 order = np.lexsort((hashes, how))[:count]
@@ -344,8 +362,7 @@ def similar_links(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits
     likely = cut(_agreeing(sketched, False, similarity - 3 * (similarity * (1 - similarity) / MINIMA) ** 0.5))
 
     def make() -> Callable[[list[str]], dict[str, list]]:
-        memo = _Words()
-        return lambda texts: {"x": [shingle_set(t, words, memo).astype("<u8").tobytes() for t in texts]}
+        return lambda texts: {"x": [shingle_set(t, words).astype("<u8").tobytes() for t in texts]}
 
     def exact(pairs: DataFrame, deal: Callable[[Column], Column]) -> DataFrame:
         ids = pairs.select(F.col("a").alias(id_col)).union(pairs.select("b")).distinct()
