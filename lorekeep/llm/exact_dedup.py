@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, dealt_anew, small_side, table, text_of
+from .common import cut, dealt_anew, table, text_of
 
 PREFIX = 96
-#: Candidate (length, prefix hash) pairs that are broadcast at most, of 16 bytes each.
-MOST_KEYS = 500_000
+#: Words of 64 bits in the filter of repeating (length, prefix hash) pairs: all that is broadcast, whatever the corpus holds.
+WORDS = 2**20
 
 
 def normalised(text: Column) -> Column:
@@ -28,8 +28,9 @@ def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dige
     group_size. A null id ranks last. No rows give no rows. Other columns don't matter, whatever their names.
 
     Level 1 counts lengths and level 2 (length, prefix hash) pairs; both are summed map-side, so a group of any size
-    shuffles one row a task. Level 3 hashes the full text only of rows whose pair repeats; only those rows are moved,
-    to meet one row a group in a join whose hot keys Spark splits. All other rows stay where they are.
+    shuffles one row a task. Pairs that repeat set their bit in a filter of bounded size, which is broadcast. Level 3 hashes
+    the full text only of rows whose bit is set; only those rows are moved, to meet one row a group in a join whose hot
+    keys Spark splits. All other rows stay where they are. A pair that shares another's bit costs a hash, no more.
     """
     signed = (
         docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
@@ -38,15 +39,15 @@ def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dige
     )
     pairs = signed.groupBy("len", "pre").agg(F.count("*").alias("n"))
     lengths = pairs.groupBy("len").agg(F.sum("n").alias("of_len")).where("of_len > 1").select("len")
-    pairs = cut(pairs.where("n > 1").join(lengths, "len", "left_semi").select("len", "pre", F.lit(True).alias("again")))
-    n = pairs.count()
-    if n <= MOST_KEYS:
-        flagged = signed.join(small_side(pairs, n, MOST_KEYS), ["len", "pre"], "left").withColumn("again", F.coalesce("again", F.lit(False)))
-    else:  # too many repeat to send to every executor: a full hash of all rows saves moving the texts
-        flagged = signed.withColumn("again", F.lit(True))
+    key = F.xxhash64("len", "pre")
+    word, bit = F.shiftrightunsigned(key, 6).bitwiseAND(F.lit(WORDS - 1)), key.bitwiseAND(F.lit(63)).cast("int")
+    repeats = pairs.where("n > 1").join(lengths, "len", "left_semi").select(word.alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("mask"))
+    bits = cut(repeats.groupBy("word").agg(F.bit_or("mask").alias("mask")))  # WORDS rows at most
+    flagged = signed.withColumn("word", word).join(F.broadcast(bits), "word", "left")
+    flagged = flagged.withColumn("again", F.coalesce(F.call_function("shiftright", F.col("mask"), bit).bitwiseAND(F.lit(1)) == 1, F.lit(False)))
     sha = F.sha2(F.col("norm"), 256)
     alone = flagged.where("not again").select("row", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), (sha if digest else F.lit(None).cast("string")).alias("text_sha256"))
-    full = flagged.where("again").select("row", "id", "raw", sha.alias("key"))
+    full = cut(flagged.where("again").select("row", "id", "raw", sha.alias("key")))
     order = F.struct(F.col("raw"), F.col("id").isNotNull(), -F.col("id"))
     groups = full.groupBy("key").agg(F.count("*").alias("size"), F.max_by("id", order).alias("keep")).withColumn("key", dealt_anew(F.col("key")))
     copies = full.join(groups, "key").select("row", F.col("keep").alias("keep_id"), F.col("size").alias("group_size"), F.col("keep").eqNullSafe(F.col("id")).alias("kept"), F.col("key").alias("text_sha256"))
