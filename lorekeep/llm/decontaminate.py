@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import math
+import pickle
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, map_texts, small_side, table
+from .common import cut, dealt_anew, map_texts, small_side, table, text_of
 
 K1, B = 1.2, 0.75
 #: Words of a cell; a passage is two cells, the next one starts a cell later, so any run of CELL + 1 words is in one.
@@ -23,8 +25,8 @@ SHARE = 0.6
 BLOCK = 8
 #: Verification: runs of GRAM words of the question, of the answer; shares of them that a document must hold.
 GRAM, QUESTION, ANSWER = 5, 0.6, 0.6
-#: Items of one index, and items whose indexes travel together; more items mean more passes over the documents.
-INDEX_ITEMS, PASS_ITEMS = 512, 16_384
+#: Bytes of a shard of the index, and of the shards that are broadcast together, about; a word of an item takes ITEM_WORD.
+SHARD_BYTES, PASS_BYTES, ITEM_WORD = 2**24, 2**26, 400
 _WORD = regex.compile(r"[\p{L}\p{N}]+")
 
 
@@ -44,76 +46,110 @@ def grams(words: list[str]) -> set[tuple[str, ...]]:
 
 @dataclass
 class Index:
-    """Impacts by term and item, their maxima by term and block of items, and each item's and block's threshold.
+    """A shard of the inverted index. A term's entries, one for each block of items that holds it, run from entry[t] to
+    entry[t + 1]: the block, the largest impact in it, and where its postings (place, impact) begin.
 
-    Items are ordered by threshold, so that the items of a block fail or pass alike. The last row, of zeros, stands
-    for the words that no item has.
+    Items are ordered by threshold, so that the items of a block fail or pass alike. top is the largest impact of each term.
     """
 
     items: list[int]
     term: dict[str, int]
-    impact: np.ndarray
+    entry: np.ndarray
+    block: np.ndarray
     block_max: np.ndarray
+    first: np.ndarray
+    place: np.ndarray
+    impact: np.ndarray
+    top: np.ndarray
     threshold: np.ndarray
     block_least: np.ndarray
     question: list[set]
     answer: list[set]
 
 
-def build(items: list[tuple[int, list[str]]], share: float = SHARE) -> Index | None:
-    """Items without a word are left out: nothing can hold them."""
+def ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """All integers of the ranges, one range after another."""
+    sizes = ends - starts
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+
+
+def weigh(words: list[str], df: Mapping[str, int], n: int, average: float, share: float) -> tuple[dict[str, float], float]:
+    """An item's BM25 impacts by word, and its threshold: that share of what its weakest CELL words score."""
+    norm = K1 * (1 - B + B * len(words) / average)
+    impact = {w: math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * tf * (K1 + 1) / (tf + norm) for w, tf in Counter(words).items()}
+    own = min(sum(impact[w] for w in set(words[at : at + CELL])) for at in range(0, max(1, len(words) - CELL + 1)))
+    return impact, share * own
+
+
+def build(items: list[tuple[int, list[str]]], share: float = SHARE, df: Mapping[str, int] | None = None, n: int = 0, average: float = 0.0) -> Index | None:
+    """The index of some items; df, n and average are those of the whole test set, else these items are all of it.
+
+    Items without a word are left out: nothing can hold them.
+    """
     items = [(i, w) for i, w in items if w]
     if not items:
         return None
-    average = sum(len(w) for _, w in items) / len(items)
-    tfs = [Counter(w) for _, w in items]
-    df = Counter(w for tf in tfs for w in tf)
-    term = {w: k for k, w in enumerate(sorted(df))}
-
-    def impact_of(n: int, word: str) -> float:
-        tf, length = tfs[n][word], len(items[n][1])
-        return math.log(1 + (len(items) - df[word] + 0.5) / (df[word] + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / average))
-
-    def own(n: int) -> float:
-        words = items[n][1]
-        return min(sum(impact_of(n, w) for w in set(words[at : at + CELL])) for at in range(0, max(1, len(words) - CELL + 1)))
-
-    threshold = [share * own(n) for n in range(len(items))]
-    order = sorted(range(len(items)), key=lambda n: (threshold[n], items[n][0]))
-    blocks = -(-len(items) // BLOCK)
-    impact = np.zeros((len(term) + 1, blocks * BLOCK))
-    for at, n in enumerate(order):
-        for word in tfs[n]:
-            impact[term[word], at] = impact_of(n, word)
-    least = np.full(blocks * BLOCK, np.inf)
-    least[: len(items)] = [threshold[n] for n in order]
-    parts = [question_answer(items[n][1]) for n in order]
+    if df is None:
+        df, n, average = Counter(w for _, words in items for w in set(words)), len(items), sum(len(w) for _, w in items) / len(items)
+    made = [(i, words, *weigh(words, df, n, average, share)) for i, words in items]
+    made.sort(key=lambda x: (x[3], x[0]))
+    term = {w: k for k, w in enumerate(sorted({w for x in made for w in x[2]}))}
+    posts = sorted((term[w], at, v) for at, x in enumerate(made) for w, v in x[2].items())
+    terms, place, impact = (np.array(x) for x in zip(*posts, strict=True))
+    blocks = -(-len(made) // BLOCK)
+    cell = terms * blocks + place // BLOCK
+    first = np.flatnonzero(np.diff(cell, prepend=-1))
+    entry = np.searchsorted(cell[first] // blocks, np.arange(len(term) + 1))
+    threshold = np.array([x[3] for x in made])
+    parts = [question_answer(x[1]) for x in made]
     return Index(
-        [items[n][0] for n in order], term, impact, impact.reshape(len(term) + 1, blocks, BLOCK).max(axis=2).astype(np.float32),
-        least, least.reshape(blocks, BLOCK).min(axis=1), [grams(q) for q, _ in parts], [grams(a) for _, a in parts],
+        [x[0] for x in made], term, entry, cell[first] % blocks, np.maximum.reduceat(impact, first), np.append(first, len(cell)), place, impact,
+        np.maximum.reduceat(impact, np.searchsorted(terms, np.arange(len(term)))), threshold, np.minimum.reduceat(threshold, np.arange(0, len(made), BLOCK)),
+        [grams(q) for q, _ in parts], [grams(a) for _, a in parts],
     )
 
 
 def retrieve(index: Index, passage: np.ndarray, terms: np.ndarray) -> Iterator[tuple[int, int, float]]:
     """(passage, item place, score) of all items whose BM25 score over a passage's distinct terms reaches their threshold.
 
-    passage and terms are pairs sorted by passage. Block-max WAND over a batch: the sum of a block's
-    maxima is tested against the least threshold of its items, whole columns at a time, and only the items of blocks
-    that stand are scored, in full precision.
+    passage and terms are pairs sorted by passage. Block-max WAND for a batch of passages at once. A passage's terms
+    are ordered by their largest impact; those before the pivot, where the running sum reaches the least threshold, can't lift an
+    item over it alone, so only blocks in the lists of the pivot and of later terms are looked at. Of these only blocks
+    whose maxima reach the least threshold inside are scored, in full precision.
     """
+    least = float(index.block_least.min()) * (1 - 1e-9)
     if not len(passage):
         return
+    order = np.lexsort((index.top[terms], passage))
+    terms, upper = terms[order], index.top[terms[order]]
     firsts = np.flatnonzero(np.diff(passage, prepend=-1))
-    bound = np.add.reduceat(index.block_max[terms], firsts, axis=0)
-    stands = bound * (1 + 1e-5) >= index.block_least
-    ends = np.append(firsts[1:], len(passage))
-    for k in np.flatnonzero(stands.any(axis=1)):
-        own = terms[firsts[k] : ends[k]]
-        for block in np.flatnonzero(stands[k]):
-            places = slice(block * BLOCK, (block + 1) * BLOCK)
-            score = index.impact[own, places].sum(axis=0)
-            for j in np.flatnonzero(score >= index.threshold[places] - 1e-9):
-                yield int(passage[firsts[k]]), int(block * BLOCK + j), float(score[j])
+    sums = np.cumsum(upper)
+    sums -= np.repeat(sums[firsts] - upper[firsts], np.diff(np.append(firsts, len(passage))))
+    after = sums >= least
+    blocks = len(index.block_least)
+
+    def opened(some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        begin, end = index.entry[terms[some]], index.entry[terms[some] + 1]
+        at = ranges(begin, end)
+        return at, np.repeat(passage[some], end - begin) * blocks + index.block[at]
+
+    cells = np.unique(opened(np.flatnonzero(after))[1])
+    if not len(cells):
+        return
+    held = np.unique(cells // blocks)
+    at, cell = opened(np.flatnonzero(held[np.minimum(np.searchsorted(held, passage), len(held) - 1)] == passage))
+    where = np.minimum(np.searchsorted(cells, cell), len(cells) - 1)
+    mine = cells[where] == cell
+    at, where = at[mine], where[mine]
+    stands = np.bincount(where, index.block_max[at], minlength=len(cells)) >= index.block_least[cells % blocks] * (1 - 1e-9)
+    mine = stands[where]
+    at, where = at[mine], where[mine]
+    begin, end = index.first[at], index.first[at + 1]
+    posts = ranges(begin, end)
+    key, group = np.unique(np.repeat(cells[where] // blocks, end - begin) * len(index.items) + index.place[posts], return_inverse=True)
+    score = np.bincount(group, index.impact[posts], minlength=len(key)) if len(key) else np.empty(0)
+    for j in np.flatnonzero(score >= index.threshold[key % len(index.items)] - 1e-9):
+        yield int(key[j] // len(index.items)), int(key[j] % len(index.items)), float(score[j])
 
 
 def pairs_of(index: Index, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -153,29 +189,62 @@ def leaks(index: Index, texts: list[list[str]]) -> list[list[tuple[int, float, f
     return out
 
 
+def weighed_items(benchmark: DataFrame) -> tuple[DataFrame, int, float]:
+    """(item_id, text and df of each of its words, number of items, their mean length), over the whole test set.
+
+    Rows without an id or a word are left out, repeated rows are one; equal texts under different ids are items each.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [words_of(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array([len(w) for w in words], pa.int64()), pa.array([sorted(set(w)) for w in words], pa.list_(pa.string()))],
+                names=["item_id", "text", "length", "words"],
+            )
+
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_of().alias("text")).where("item_id is not null").distinct()
+    items = cut(rows.mapInArrow(run, "item_id long, text string, length long, words array<string>").where("length > 0"))
+    n, average = items.agg(F.count("*"), F.avg("length")).first()
+    held = items.select("item_id", "text", F.explode("words").alias("word"))
+    df = held.groupBy("word").agg(F.count("*").alias("df"))
+    return held.join(df.withColumn("word", dealt_anew(F.col("word"))), "word").groupBy("item_id", "text").agg(F.map_from_entries(F.collect_list(F.struct("word", "df"))).alias("df")), n, average or 0.0
+
+
 def indexes(benchmark: DataFrame, share: float = SHARE) -> Iterator[list[Index]]:
-    """Indexes over blocks of the stated test set, a bounded number of items at a time."""
-    block: list[tuple[int, list[str]]] = []
-    held: list[Index | None] = []
-    for row in benchmark.select("item_id", "text").where("item_id is not null").distinct().orderBy("item_id", "text").toLocalIterator():
-        block.append((row["item_id"], words_of(row["text"])))
-        if len(block) == INDEX_ITEMS:
-            held.append(build(block, share))
-            block = []
-        if len(held) * INDEX_ITEMS >= PASS_ITEMS:
-            yield [x for x in held if x]
-            held = []
-    held.append(build(block, share))
-    if last := [x for x in held if x]:
-        yield last
+    """Shards of the index over the stated test set, as many at a time as may be broadcast; executors build them."""
+    items, n, average = weighed_items(benchmark)
+    if not n:
+        return
+    shards = max(1, math.ceil(n * average * ITEM_WORD / SHARD_BYTES))
+
+    def shard(key, rows):
+        data = rows.select(["item_id", "text", "df"]).to_pylist()
+        df: dict[str, int] = {}
+        for r in data:
+            df |= dict(r["df"])
+        index = build([(r["item_id"], words_of(r["text"])) for r in data], share, df, n, average)
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.int64()), "index": pa.array([pickle.dumps(index)], pa.binary())})
+
+    made = cut(items.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(shards))).groupBy("shard").applyInArrow(shard, "shard long, index binary"))
+    held, size = [], 0
+    for r in made.orderBy("shard").toLocalIterator():
+        if held and size + len(r["index"]) > PASS_BYTES:
+            yield held
+            held, size = [], 0
+        held.append(pickle.loads(r["index"]))
+        size += len(r["index"])
+    if held:
+        yield held
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, item_id, score, question_share, answer_share: one row for each test item that a document holds.
 
     Every passage of every text is a query. A null or empty text, and an item without words, hold and yield nothing;
-    repeated documents are judged each; an empty benchmark gives no rows. The test set goes to the executors in
-    blocks of bounded size, one pass over the documents a block; documents are not shuffled.
+    repeated documents are judged each; an empty benchmark gives no rows; equal items under different ids are reported
+    each. Statistics are those of the whole test set, so scores don't depend on how it is sharded. The shards go to the executors
+    PASS_BYTES at a time, one pass over the documents each; documents are not shuffled.
     """
     out = None
     for some in indexes(benchmark, share):
@@ -211,4 +280,52 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row a leak; documents that hold none have no row."""
-    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).withColumn("score", F.round("score", 6))
+
+
+SQL = r"""
+WITH item AS (
+  SELECT row_number() OVER () AS i, item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS words
+  FROM (SELECT DISTINCT item_id, coalesce(text, '') AS text FROM benchmark WHERE item_id IS NOT NULL)
+), kept AS (SELECT * FROM item WHERE len(words) > 0
+), n AS (SELECT count(*) AS items, avg(len(words)) AS average FROM kept
+), tf AS (
+  SELECT i, len(any_value(words)) AS length, word, count(*) AS tf FROM (SELECT i, words, unnest(words) AS word FROM kept) GROUP BY i, word
+), df AS (SELECT word, count(*) AS df FROM tf GROUP BY word
+), impact AS (
+  SELECT i, word, ln(1 + (items - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / average)) AS impact
+  FROM tf JOIN df USING (word), n
+), span AS (SELECT i, words, unnest(range(0, greatest(1, len(words) - 63))) AS pos FROM kept
+), own AS (
+  SELECT i, pos, sum(impact) AS own
+  FROM (SELECT DISTINCT i, pos, unnest(words[pos + 1 : pos + 64]) AS word FROM span) JOIN impact USING (i, word) GROUP BY i, pos
+), bar AS (SELECT i, 0.6 * min(own) AS threshold FROM own GROUP BY i
+), doc AS (
+  SELECT row_number() OVER () AS d, doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS words
+  FROM documents
+), passage AS (
+  SELECT DISTINCT d, p, unnest(words[p * 64 + 1 : p * 64 + 128]) AS word
+  FROM (SELECT d, words, unnest(range(0, greatest(1, (len(words) + 63) // 64 - 1))) AS p FROM doc)
+), best AS (
+  SELECT d, i, max(score) AS score
+  FROM (SELECT d, p, i, sum(impact) AS score FROM passage JOIN impact USING (word) GROUP BY d, p, i) JOIN bar USING (i)
+  WHERE score >= threshold - 1e-9 GROUP BY d, i
+), part AS (
+  SELECT i, 'q' AS part, CASE WHEN len(words) >= 20 THEN words[: len(words) - len(words) // 4] ELSE words END AS words FROM kept
+  UNION ALL SELECT i, 'a', words[len(words) - len(words) // 4 + 1 :] FROM kept WHERE len(words) >= 20
+), run AS (
+  SELECT DISTINCT i, part, array_to_string(words[pos + 1 : pos + 5], ' ') AS run
+  FROM (SELECT i, part, words, unnest(range(0, greatest(1, len(words) - 4))) AS pos FROM part)
+), own_run AS (
+  SELECT DISTINCT d, array_to_string(words[pos + 1 : pos + 5], ' ') AS run
+  FROM (SELECT d, words, unnest(range(0, greatest(1, len(words) - 4))) AS pos FROM doc WHERE d IN (SELECT d FROM best) AND len(words) > 0)
+), held AS (
+  SELECT d, i, part, count(own_run.run) / count(*) AS held
+  FROM best JOIN run USING (i) LEFT JOIN own_run USING (d, run) GROUP BY d, i, part
+), shares AS (
+  SELECT d, i, max(held) FILTER (part = 'q') AS question_share, coalesce(max(held) FILTER (part = 'a'), 1.0) AS answer_share FROM held GROUP BY d, i
+)
+SELECT doc_id, item_id, round(score, 6) AS score, question_share, answer_share
+FROM shares JOIN best USING (d, i) JOIN doc USING (d) JOIN kept USING (i)
+WHERE question_share >= 0.6 AND answer_share >= 0.6
+"""

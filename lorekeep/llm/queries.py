@@ -22,5 +22,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_exact_dedup": exact_dedup.SQL,
+    "op7_decontaminate": decontaminate.SQL,
     "op9_host_reputation": host_reputation.SQL,
 }

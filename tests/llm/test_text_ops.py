@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers as P
 import pytest
+from compare import assert_agrees
 from conftest_llm import prose
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -166,17 +167,54 @@ def items(n, words=40):
     return [(k, prose(1_000 + k, words) + ".") for k in range(n)]
 
 
+def bm25(items):
+    """The scores of all items (id, words) for a passage's distinct words, from the formula and nothing else."""
+    n, average = len(items), sum(len(w) for _, w in items) / len(items)
+    df = Counter(w for _, words in items for w in set(words))
+    held = [(i, len(words), Counter(words)) for i, words in items]
+
+    def scores(passage):
+        own = set(passage)
+        return {i: sum(math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * tf[w] * 2.2 / (tf[w] + 1.2 * (0.25 + 0.75 * length / average)) for w in own & tf.keys()) for i, length, tf in held}
+
+    return scores
+
+
 def test_block_max_retrieves_what_a_full_scan_does():
-    index = D.build([(i, D.words_of(t)) for i, t in items(90)], 0.25)
+    bench = [(i, D.words_of(t)) for i, t in items(90)] + [(100 + k, D.words_of(prose(k, 5 + 17 * k))) for k in range(9)]
+    index = D.build(bench, 0.25)
     rng = random.Random(2)
-    texts = [D.words_of(prose(k, rng.randint(0, 300)) + " " + items(90)[k % 90][1]) for k in range(60)]
+    texts = [D.words_of(prose(k, rng.randint(0, 300)) + " " + items(90)[k % 90][1]) for k in range(40)]
     passage, terms, owner = D.pairs_of(index, texts)
-    got = {(p, j): s for p, j, s in D.retrieve(index, passage, terms)}
-    want = {}
-    for p in np.unique(passage):
-        score = index.impact[terms[passage == p]].sum(axis=0)
-        want |= {(int(p), int(j)): score[j] for j in np.flatnonzero(score >= index.threshold - 1e-9)}
-    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got) and len(got) >= 60
+    got = {(p, index.items[j]): s for p, j, s in D.retrieve(index, passage, terms)}
+    of = bm25(bench)
+    least = {i: 0.25 * min(of(w[at : at + 64])[i] for at in range(max(1, len(w) - 63))) for i, w in bench}
+    want, p = {}, 0
+    for words in texts:
+        for cell in range(max(1, -(-len(words) // 64) - 1)):
+            score = of(words[cell * 64 : cell * 64 + 128])
+            want |= {(p, i): s for i, s in score.items() if s >= least[i] - 1e-9}
+            p += 1
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got) and len(got) >= 40
+
+
+def test_scores_do_not_depend_on_shards(spark, frame, monkeypatch):
+    """The same item and document score alike however the test set is cut, and as the formula says."""
+    bench = [(k, t) for k, t in items(60)]
+    df = frame({100 + k: t for k, t in items(10)})
+    found = []
+    for size in (2**24, 40 * D.ITEM_WORD):
+        monkeypatch.setattr(D, "SHARD_BYTES", size)
+        monkeypatch.setattr(D, "PASS_BYTES", 20_000)
+        found.append({(r["doc_id"], r["item_id"]): r["score"] for r in D.find_leaks(df, spark.createDataFrame(bench, "item_id long, text string")).collect()})
+    assert found[0].keys() == found[1].keys() and all(abs(found[0][k] - found[1][k]) < 1e-9 for k in found[0])
+    words = [(i, D.words_of(t)) for i, t in bench]
+    of = bm25(words)
+    assert all(abs(s - of(words[i][1])[i]) < 1e-9 for (_, i), s in found[0].items())
+
+
+def test_decontamination_agrees_with_sql(spark, sf):
+    assert_agrees(spark, sf, D.op7_decontaminate, D.SQL)
 
 
 def test_passages_hold_every_run():
@@ -200,8 +238,8 @@ def test_leaks_are_found_and_clean_documents_left(spark, frame):
 def test_decontamination_in_blocks_and_odd_rows(spark, odd, frame, monkeypatch):
     bench = spark.createDataFrame(items(30), "item_id long, text string")
     df = frame({100 + k: t for k, t in items(30)})
-    monkeypatch.setattr(D, "INDEX_ITEMS", 4)
-    monkeypatch.setattr(D, "PASS_ITEMS", 8)
+    monkeypatch.setattr(D, "SHARD_BYTES", 4 * 40 * D.ITEM_WORD)
+    monkeypatch.setattr(D, "PASS_BYTES", 20_000)
     assert {(r["doc_id"], r["item_id"]) for r in D.find_leaks(df, bench).collect()} == {(100 + k, k) for k in range(30)}
     assert D.decontaminate(odd, bench).count() == odd.count()
     none = spark.createDataFrame([], "item_id long, text string")
