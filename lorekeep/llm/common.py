@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..operators.lineage import settle as cut
 from ..operators.lineage import use_checkpoints
 
-__all__ = ["BROADCAST_ROWS", "crc_mod", "cut", "dealt_anew", "drawn", "map_texts", "shared_folder", "small_side", "table", "text_of"]
+__all__ = ["BROADCAST_ROWS", "crc_mod", "cut", "dealt_anew", "drawn", "map_texts", "shared_folder", "small_side", "spread", "table", "text_of"]
 
 #: Rows that a side may have at most to be broadcast; counted before, never guessed.
 BROADCAST_ROWS = 200_000
@@ -59,6 +59,12 @@ def small_side(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFram
     return F.broadcast(df) if rows <= most else df
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """Rows of a table in a few splits, dealt to all cores before costly work on each; any other table stays as it is."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() * 2 <= cores else docs
+
+
 def map_texts(docs: DataFrame, make: Callable[[], Callable[[list[str]], dict[str, list]]], schema: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and the columns of schema for each row, from Arrow batches of whole texts; null texts count as empty.
 
@@ -78,4 +84,4 @@ def map_texts(docs: DataFrame, make: Callable[[], Callable[[list[str]], dict[str
                 made = function(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(made[n], type=arrow.field(n).type) for n in names)], schema=arrow)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(run, target)
+    return spread(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))).mapInArrow(run, target)

@@ -6,9 +6,7 @@ import math
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -17,31 +15,22 @@ from pyspark.sql import functions as F
 
 from .common import crc_mod, cut, drawn, map_texts, small_side, table, text_of
 
-#: Code points of word pieces. A word's features are the word and its pieces.
-PIECES = (4, 5)
-#: Features kept: the most telling of those that enough labelled texts hold.
-FEATURES, LEAST_DF = 4_096, 3
-#: Deviations by which a feature must be more common among toxic texts than chance explains.
-TELLING = 6.0
+#: Labelled texts that must hold a word, of any class, before it can weigh.
+LEAST_DF = 3
 #: Labelled examples of the index, at most, and neighbours that vote.
-EXAMPLES, K = 20_000, 15
+EXAMPLES, K = 6_000, 15
 BLOCK = 64
-#: Labelled rows that calibrate the votes, at most.
-CALIBRATE = 4_000
+#: Examples that calibrate the votes, at most.
+CALIBRATE = 3_000
 _WORD = regex.compile(r"\p{L}+")
 
 
-@lru_cache(maxsize=100_000)
-def features_of(word: str) -> tuple[str, ...]:
-    return (f"={word}", *{word[i : i + n] for n in PIECES for i in range(len(word) - n + 1)})
+def words_of(text: str) -> list[str]:
+    return _WORD.findall(text.lower())
 
 
-def document_features(text: str) -> set[str]:
-    return {f for w in set(_WORD.findall(text.lower())) for f in features_of(w)}
-
-
-def count_features(rows: DataFrame) -> DataFrame:
-    """feature, pos, neg: the labelled texts of each class that hold it. Each batch is summed before it is sent."""
+def count_words(rows: DataFrame) -> DataFrame:
+    """feature, pos, neg: the labelled texts of each class that hold a word. Each batch is summed before it is sent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: tuple[Counter, Counter] = (Counter(), Counter())
@@ -54,7 +43,7 @@ def count_features(rows: DataFrame) -> DataFrame:
 
         for batch in batches:
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                sums[label].update(document_features(text))
+                sums[label].update(set(words_of(text)))
             if len(sums[0]) > 300_000:
                 yield flush()
         yield flush()
@@ -69,7 +58,7 @@ class Model:
     entry[f] to entry[f + 1]: the block, the largest weight in it, and where its postings (place, weight) begin."""
 
     feature: dict[str, int]
-    idf: np.ndarray
+    worth: np.ndarray
     entry: np.ndarray
     block: np.ndarray
     block_max: np.ndarray
@@ -89,28 +78,17 @@ def ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.repeat(starts - before, sizes) + np.arange(sizes.sum())
 
 
-def matcher(feature: dict[str, int]) -> ahocorasick.Automaton | None:
-    """Finds all features of a text of words with single blanks around them in one pass; None without features."""
-    if not feature:
-        return None
-    out = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-    for name, k in feature.items():
-        out.add_word(f" {name[1:]} " if name[0] == "=" else name, k)
-    out.make_automaton()
-    return out
-
-
-def vector(find: ahocorasick.Automaton | None, idf: np.ndarray, text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Features of a whole text, in order, and their unit-length TF-IDF weights."""
-    held = [k for _, k in find.iter(f" {' '.join(_WORD.findall(text.lower()))} ")] if find is not None else []
+def vector(feature: dict[str, int], worth: np.ndarray, text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Features of a whole text, in order, and their unit-length weights: (1 + ln tf) by idf and telling."""
+    held = sorted((feature[w], n) for w, n in Counter(words_of(text)).items() if w in feature)
     if not held:
         return np.empty(0, dtype=np.int64), np.empty(0)
-    keys, n = np.unique(np.array(held), return_counts=True)
-    w = (1 + np.log(n)) * idf[keys]
+    keys, n = np.array(held).T
+    w = (1 + np.log(n)) * worth[keys]
     return keys, w / math.sqrt(float(w @ w))
 
 
-def index_of(feature: dict[str, int], idf: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray, int, int]], prior: float) -> Model:
+def index_of(feature: dict[str, int], worth: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray, int, int]], prior: float) -> Model:
     """vectors: features, weights, label, id."""
     sizes = [len(v[0]) for v in vectors]
     keys = np.concatenate([v[0] for v in vectors]) if vectors else np.empty(0, dtype=np.int64)
@@ -125,7 +103,7 @@ def index_of(feature: dict[str, int], idf: np.ndarray, vectors: list[tuple[np.nd
     entry = np.searchsorted(cell[first] // blocks, np.arange(len(feature) + 1))
     field = lambda k: np.array([v[k] for v in vectors], dtype=np.int64)
     line = np.array([0.0, 1.0])
-    return Model(feature, idf, entry, cell[first] % blocks, most, np.append(first, len(cell)), places, weights, field(2), field(3), prior, (line, line))
+    return Model(feature, worth, entry, cell[first] % blocks, most, np.append(first, len(cell)), places, weights, field(2), field(3), prior, (line, line))
 
 
 def nearest(model: Model, keys: np.ndarray, weights: np.ndarray, k: int = K, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
@@ -169,12 +147,13 @@ def vote(model: Model, places: np.ndarray, cosines: np.ndarray) -> float:
     return float(((w * model.label[places]).sum() + 0.01 * model.prior) / (w.sum() + 0.01))
 
 
-def isotonic(x: np.ndarray, y: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
+def isotonic(x: np.ndarray, y: np.ndarray, prior: float, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Rising steps of the mean label by vote (pool adjacent violators), as points for interpolation."""
     order = np.argsort(x, kind="stable")
+    weight = np.ones(len(x)) if weight is None else weight
     pools: list[list[float]] = []
-    for a, b in zip(x[order].tolist(), y[order].tolist(), strict=True):
-        pools.append([b, 1.0, a, a])
+    for a, b, w in zip(x[order].tolist(), y[order].tolist(), weight[order].tolist(), strict=True):
+        pools.append([b * w, w, a, a])
         while len(pools) > 1 and pools[-2][0] / pools[-2][1] >= pools[-1][0] / pools[-1][1]:
             s, n, _, hi = pools.pop()
             pools[-1][0] += s
@@ -191,10 +170,12 @@ def isotonic(x: np.ndarray, y: np.ndarray, prior: float) -> tuple[np.ndarray, np
 
 
 def fit(docs: DataFrame, labels: DataFrame, where: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> Model | None:
-    """Features from all labelled rows, then an index over a bounded sample of them; None without any label.
+    """An index over a bounded sample of the labelled rows, by words that all labelled rows weigh; None without any label.
 
-    The sample is the examples whose ids hash lowest, half of its places for each class. Examples of equal vectors
-    and labels are one.
+    The sample is the examples whose ids hash lowest, half of its places for each class. Every word of the sample that
+    LEAST_DF labelled texts hold, and toxic ones more often than the others, is a feature; its weight is its idf times the
+    deviations by which it is more common. Examples of equal vectors and labels are one. Each example's vote without itself
+    calibrates the scores, weighed by the true share of its class.
     """
     said = labels.where("toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
     said = cut(said)
@@ -204,52 +185,55 @@ def fit(docs: DataFrame, labels: DataFrame, where: Column | None = None, id_col:
     pos, neg = n.get(1, 0), n.get(0, 0)
     if not pos + neg:
         return None
-    counted = count_features(rows).where(F.col("pos") + F.col("neg") >= LEAST_DF)
+    half = EXAMPLES // 2
+    drawn_rows = [rows.where((F.col("label") == label) & drawn(F.col("doc_id"), "toxic", half, n.get(label, 0))).withColumn("h", F.xxhash64("doc_id", F.lit("example"))).orderBy("h", "doc_id").limit(half) for label in (0, 1)]
+    sample = cut(drawn_rows[0].union(drawn_rows[1]).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = {w for t in batch.column(0).to_pylist() for w in words_of(t)}
+            yield pa.RecordBatch.from_pydict({"feature": pa.array(sorted(held), pa.string())})
+
+    known = sample.select("text").mapInArrow(distinct, "feature string").distinct()
     a, b = (F.col("pos") + 0.5) / (pos + 1), (F.col("neg") + 0.5) / (neg + 1)
-    share = (F.col("pos") + F.col("neg") + 1) / (pos + neg + 2)
+    df = F.col("pos") + F.col("neg")
+    share = (df + 1) / (pos + neg + 2)
     telling = (a - b) / F.sqrt(share * (1 - share) * (1 / (pos + 1) + 1 / (neg + 1)))
-    chosen = counted.select("feature", (F.col("pos") + F.col("neg")).alias("df"), telling.alias("t")).where((a > 2 * b) & (F.col("t") >= TELLING)).orderBy(F.desc("t"), "feature").limit(FEATURES).collect()
-    feature = {r["feature"]: k for k, r in enumerate(chosen)}
-    idf = np.array([math.log((pos + neg + 1) / (r["df"] + 1)) + 1 for r in chosen])
-    half = EXAMPLES // 2
-    some = F.when(F.col("label") == 1, drawn(F.col("doc_id"), "toxic", half, pos)).otherwise(drawn(F.col("doc_id"), "toxic", half, neg))
-    hashed = rows.where(some).withColumn("h", F.xxhash64("doc_id", F.lit("example")))
+    weighed = count_words(rows).where(df >= LEAST_DF).select("feature", (telling * (F.log((pos + neg + 1) / (df + 1)) + 1)).alias("worth")).where("worth > 0")
+    chosen = sorted((r["feature"], r["worth"]) for r in weighed.join(known, "feature", "left_semi").collect())
+    feature, worth = {w: k for k, (w, _) in enumerate(chosen)}, np.array([x for _, x in chosen])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = matcher(feature)
         for batch in batches:
-            made = [vector(find, idf, t) for t in batch.column(2).to_pylist()]
+            made = [vector(feature, worth, t) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), batch.column(3), pa.array([k.tolist() for k, _ in made], pa.list_(pa.int32())), pa.array([w.tolist() for _, w in made], pa.list_(pa.float64()))],
                 names=["h", "doc_id", "label", "keys", "weights"],
             )
 
-    vectors = cut(hashed.select("h", "doc_id", "text", "label").mapInArrow(run, "h long, doc_id long, label int, keys array<int>, weights array<double>"))
-    got = []
-    for label in (0, 1):
-        got += vectors.where(F.col("label") == label).orderBy("h", "doc_id").limit(half).collect()
+    got = sorted(sample.select("h", "doc_id", "text", "label").mapInArrow(run, "h long, doc_id long, label int, keys array<int>, weights array<double>").collect(), key=lambda r: (r["h"], r["doc_id"]))
     merged: dict[tuple, int] = {}
-    for r in sorted(got, key=lambda r: (r["h"], r["doc_id"])):
+    for r in got:
         if r["keys"]:
             merged.setdefault((tuple(r["keys"]), tuple(r["weights"]), r["label"]), r["doc_id"])
-    examples = [(np.array(k), np.array(w), y, i) for (k, w, y), i in merged.items()]
-    model = index_of(feature, idf, examples, pos / (pos + neg))
+    model = index_of(feature, worth, [(np.array(k), np.array(w), y, i) for (k, w, y), i in merged.items()], pos / (pos + neg))
     x, y = [], []
     place = {key: at for at, key in enumerate(merged)}
-    for r in sorted(got, key=lambda r: (r["h"], r["doc_id"]))[:CALIBRATE]:
+    for r in got[:CALIBRATE]:
         at = place.get((tuple(r["keys"]), tuple(r["weights"]), r["label"]), -1)
         found = nearest(model, np.array(r["keys"], dtype=np.int64), np.array(r["weights"]), without=at)  # without itself
         x.append(vote(model, *found))
         y.append(r["label"])
-    model.curve = isotonic(np.array(x), np.array(y, dtype=float), model.prior)
+    taken = Counter(y)
+    model.curve = isotonic(np.array(x), np.array(y, dtype=float), model.prior, np.array([n[k] / taken[k] for k in y]) * len(y) / (pos + neg))
     return model
 
 
-def score_text(model: Model | None, text: str, find: ahocorasick.Automaton | None, memo: dict[bytes, tuple]) -> tuple[float, list[int], list[float]]:
+def score_text(model: Model | None, text: str, memo: dict[bytes, tuple]) -> tuple[float, list[int], list[float]]:
     """Calibrated score, the ids of the examples that voted and their cosines."""
     if model is None:
         return 0.0, [], []
-    keys, weights = vector(find, model.idf, text)
+    keys, weights = vector(model.feature, model.worth, text)
     key = keys.tobytes() + weights.tobytes()
     if key not in memo:
         if len(memo) > 20_000:
@@ -270,11 +254,10 @@ def score_documents(docs: DataFrame, model: Model | None, id_col: str = "doc_id"
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def make() -> Callable[[list[str]], dict[str, list]]:
-        find = matcher(sent.value.feature) if sent.value else None
         memo: dict[bytes, tuple] = {}
 
         def run(texts: list[str]) -> dict[str, list]:
-            made = [score_text(sent.value, t, find, memo) for t in texts]
+            made = [score_text(sent.value, t, memo) for t in texts]
             return {"score": [m[0] for m in made], "evidence": [m[1] for m in made], "cosines": [m[2] for m in made]}
 
         return run
