@@ -16,6 +16,8 @@ from . import lexical as L
 from . import retrieval as R
 from .lineage import settle
 
+#: Projects that one answer may touch, and decisions that a rendered one shows.
+PROJECTS, SHOWN = 1_000, 20
 FIELDS = ("label", "name", "aliases", "alias", "path", "document_id", "revision_id")
 
 
@@ -131,7 +133,9 @@ def context(journal: DataFrame, q: str, as_of: str | None = None, limit: int = 1
     kinds = nodes.select("id", F.lower(field("type")).alias("kind"))
     direct = mine.where(F.lower("kind") == "project").select("id")
     tied = live.where("edge = 'BELONGS_TO'").join(mine.select(F.col("id").alias("from")), "from", "left_semi").join(kinds.where("kind = 'project'").select(F.col("id").alias("to")), "to", "left_semi").select(F.col("to").alias("id"))
-    projects = sorted(r["id"] for r in direct.union(tied).distinct().limit(1_000).collect())  # names of a bounded answer
+    projects = sorted(r["id"] for r in direct.union(tied).distinct().limit(PROJECTS + 1).collect())  # names of a bounded answer
+    if len(projects) > PROJECTS:
+        raise ValueError(f"the request touches more than {PROJECTS} projects; say more")
     supports = live.where(F.col("edge").isin("SUPPORTS", "INFORMS")).select("from", "to")
     ends = supports.union(supports.select("to", "from")).distinct().join(mine.select(F.col("id").alias("from")), "from", "left_semi").select(F.col("to").alias("id")).distinct()
     decisions = ends.join(kinds.where("kind = 'decision'").select("id"), "id").join(nodes.select("id", field("label").alias("label"), field("status").alias("status")), "id")
@@ -164,6 +168,9 @@ def render(c: Context) -> str:
     for r in c.candidates.collect():  # one page
         lines.append(f"- {r['label']} ({r['id']}) {r['score']:.2f} {r['why']}" + (f", also {', '.join(r['also'])}" if r["also"] else ""))
     lines += [f"project: {p}" for p in c.projects]
-    lines += [f"decision: {r['label']} [{r['status'] or 'unknown'}]" for r in c.decisions.orderBy("id").limit(20).collect()]
+    decisions = c.decisions.orderBy("id").limit(SHOWN + 1).collect()
+    lines += [f"decision: {r['label']} [{r['status'] or 'unknown'}]" for r in decisions[:SHOWN]]
+    if len(decisions) > SHOWN:
+        lines.append(f"decisions: the first {SHOWN} of {c.decisions.count()} are shown")
     lines += [f"missing: {m}" for m in c.missing]
     return "\n".join(lines + ([f"more from {c.next_offset}"] if c.next_offset is not None else []))

@@ -97,7 +97,7 @@ def applicability(decisions: DataFrame, conditions: DataFrame) -> DataFrame:
 def ancestors(history: DataFrame, field: str) -> DataFrame:
     """(id, ancestor): everything a decision supersedes or depends on (field), however far back."""
     links = history.select(F.col("id").alias("from"), F.explode(field).alias("to"))
-    return G.closure(history.select("id"), links).where("depth > 0").select(F.col("root").alias("id"), F.col("id").alias("ancestor")).distinct()
+    return G.reachable(links).select(F.col("from").alias("id"), F.col("to").alias("ancestor"))
 
 
 def competing(history: DataFrame) -> DataFrame:

@@ -132,6 +132,22 @@ def closure(roots: DataFrame, links: DataFrame, most: int | None = None) -> Data
     return reached
 
 
+def reachable(links: DataFrame) -> DataFrame:
+    """(from, to) of every node and all others that it reaches along links, each pair once.
+
+    Each round joins the pairs to themselves, so that paths double in length and rounds grow with the logarithm of the longest.
+    """
+    now = settle(links.select("from", "to").where("`from` <> `to`").distinct())
+    n = now.count()
+    while n:
+        a, b = now.select("from", F.col("to").alias("mid")), now.select(F.col("from").alias("mid"), "to")
+        now = settle(now.union(a.join(b, "mid").select("from", "to")).where("`from` <> `to`").distinct())
+        was, n = n, now.count()
+        if n == was:
+            break
+    return now
+
+
 def dangling(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(from, edge, to, missing): live edges with an end that no node has; locations are no nodes."""
     ids = nodes.select("id")

@@ -10,11 +10,17 @@ from . import graph as G
 
 
 def id_context(sources: DataFrame, most: int = 64, most_bytes: int = 128 * 1024) -> DataFrame:
-    """(evidence_id, id, text, sha256): admitted sources (id, text) of one request in order of id, numbered E1, E2, ..., as far as both bounds go."""
-    w = Window.orderBy("id")  # the sources of one request: most of them at most
-    few = sources.orderBy("id").limit(most)
-    sized = few.withColumn("n", F.row_number().over(w)).withColumn("bytes", F.sum(F.octet_length("text")).over(w))
-    return sized.where(F.col("bytes") <= most_bytes).select(F.concat(F.lit("E"), "n").alias("evidence_id"), "id", "text", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
+    """(evidence_id, id, text, sha256): admitted sources (id, text) of one request in order of id, numbered E1, E2, ..., all of them.
+
+    No source, more than most, or more than most_bytes of text is an error: the caller selects, nothing is left out.
+    """
+    n, size = sources.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    if not 1 <= n <= most:
+        raise ValueError(f"a context needs 1 to {most} sources, not {n}")
+    if size > most_bytes:
+        raise ValueError(f"the sources have {size} bytes of {most_bytes}; select fewer explicitly")
+    numbered = sources.withColumn("n", F.row_number().over(Window.orderBy("id")))  # the sources of one request
+    return numbered.select(F.concat(F.lit("E"), "n").alias("evidence_id"), "id", "text", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
 
 
 def context_hash(context: DataFrame) -> str:

@@ -161,7 +161,7 @@ def constraints_ranked(spark, d):
     return R.rank_constraints(o, spark.createDataFrame([("high", 2.5), ("urgent", 3.25), ("o", 0.125)], "term string, weight double"))
 
 
-@query("""WITH e AS (SELECT DISTINCT 'order:' || o_orderkey AS a, 'customer:' || o_custkey AS b FROM orders), s AS (SELECT 'order:' || o_orderkey AS id FROM orders WHERE o_orderkey % 100 = 7)
+@query("""WITH e AS (SELECT DISTINCT 'order:' || o_orderkey AS a, 'customer:' || o_custkey AS b FROM orders), s AS (SELECT 'order:' || o_orderkey AS id FROM orders WHERE o_orderkey % 50 = 0)
 SELECT a AS seed, b AS id FROM e WHERE a IN (SELECT id FROM s)""")
 def typed_neighbors(spark, d):
     """Projects of stated tasks, one typed step away."""
@@ -170,16 +170,16 @@ def typed_neighbors(spark, d):
     edges = G.replay_edges(D.place_events(spark, d))
     o = D.table(spark, d, "orders")
     kinds = o.select(F.concat(F.lit("order:"), "o_orderkey").alias("id"), F.lit("Task").alias("kind")).union(D.table(spark, d, "customer").select(F.concat(F.lit("customer:"), "c_custkey"), F.lit("Project")))
-    return R.typed_neighbours(edges, kinds, o.where("o_orderkey % 100 = 7").select(F.concat(F.lit("order:"), "o_orderkey").alias("id")), "BELONGS_TO", "Project")
+    return R.typed_neighbours(edges, kinds, o.where("o_orderkey % 50 = 0").select(F.concat(F.lit("order:"), "o_orderkey").alias("id")), "BELONGS_TO", "Project")
 
 
-@query("""WITH m AS (SELECT 'customer:' || o_custkey AS project, 'order:' || o_orderkey AS member, o_orderkey % 100 = 7 AS seed FROM orders), k AS (SELECT project, member FROM m WHERE NOT seed AND project IN (SELECT project FROM m WHERE seed)),
+@query("""WITH m AS (SELECT 'customer:' || o_custkey AS project, 'order:' || o_orderkey AS member, o_orderkey % 50 = 0 AS seed FROM orders), k AS (SELECT project, member FROM m WHERE NOT seed AND project IN (SELECT project FROM m WHERE seed)),
 r AS (SELECT project, member AS id, 'Order#' || substr(member, 7) AS label, count(*) OVER (PARTITION BY project) AS total, row_number() OVER (PARTITION BY project ORDER BY 'Order#' || substr(member, 7), member) AS n FROM k)
 SELECT project, id, label, total FROM r WHERE n <= 12""")
 def project_siblings(spark, d):
     """Other members of the projects of stated tasks."""
     o = D.table(spark, d, "orders").select(F.concat(F.lit("customer:"), "o_custkey").alias("project"), F.concat(F.lit("order:"), "o_orderkey").alias("member"), F.concat(F.lit("Order#"), "o_orderkey").alias("label"), "o_orderkey")
-    return R.siblings(o.select("project", "member"), o.select(F.col("member").alias("id"), "label"), o.where("o_orderkey % 100 = 7").select(F.col("member").alias("id")))
+    return R.siblings(o.select("project", "member"), o.select(F.col("member").alias("id"), "label"), o.where("o_orderkey % 50 = 0").select(F.col("member").alias("id")))
 
 
 @query("SELECT doc_id, substr(regexp_replace(text, '[\\t\\r\\n]', ' ', 'g'), 1, 200) AS field FROM documents")

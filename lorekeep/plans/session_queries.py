@@ -184,12 +184,12 @@ def retention_summary(spark, d):
     return S.retention_summary(_retention(spark, d))
 
 
-@query("WITH RECURSIVE w AS (SELECT p_partkey AS session, p_partkey AS k, 0 AS depth FROM part WHERE p_partkey <= 400 UNION ALL SELECT session, k // 4, depth + 1 FROM w WHERE k > 0) SELECT 'part:' || session AS session, max(depth) AS depth FROM w GROUP BY session")
+@query("WITH RECURSIVE w AS (SELECT p_partkey AS session, p_partkey AS k, 0 AS depth FROM part UNION ALL SELECT session, k // 4, depth + 1 FROM w WHERE k > 0) SELECT 'part:' || session AS session, max(depth) AS depth FROM w GROUP BY session")
 def sweep_depths(spark, d):
     """Children before parents: how deep each session is."""
     name = lambda c: F.concat(F.lit("part:"), c.cast("string"))
     key = F.col("p_partkey")
-    return S.depths(D.table(spark, d, "part").where("p_partkey <= 400").select(name(key).alias("session"), F.when(key > 0, name(F.expr("p_partkey div 4"))).alias("parent")))
+    return S.depths(D.table(spark, d, "part").select(name(key).alias("session"), F.when(key > 0, name(F.expr("p_partkey div 4"))).alias("parent")))
 
 
 DECIDE = f"""

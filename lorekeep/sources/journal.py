@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions.canonical import VERSION, event_id
 from ..functions.text import STAMP
+from .files import file_lines
 
 SCHEMA = T.StructType([
     T.StructField("seq", T.LongType()), T.StructField("id", T.StringType()), T.StructField("observed_utc", T.StringType()),
@@ -32,10 +33,9 @@ def keeps_line(line: Column) -> Column:
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(seq, line) of a JSONL file or folder; seq grows with file and place. Whole files are split, so keep segments moderate."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    lines = files.select("file", F.posexplode(F.split("value", "\n")).alias("place", "line")).where("trim(line) <> ''")
-    named = files.select("file").distinct().select("file", F.dense_rank().over(_by_file()).alias("rank"))  # one row a segment
+    """(seq, line) of a JSONL file or folder; seq grows with file and place. Files of any size are split as Spark splits them."""
+    lines = file_lines(spark, path).where("trim(value) <> ''").select("file", (F.col("line") - 1).alias("place"), F.col("value").alias("line"))
+    named = lines.select("file").distinct().select("file", F.dense_rank().over(_by_file()).alias("rank"))  # one row a segment
     return lines.join(F.broadcast(named), "file").select((F.col("rank") * F.lit(2**32) + F.col("place")).alias("seq"), "line")
 
 

@@ -5,9 +5,13 @@ A native event is one JSON text; each dialect says where the role and the words
 
 from __future__ import annotations
 
+from itertools import count, islice
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .files import file_lines
+
 SOURCES = ("antigravity", "claude", "codex", "copilot", "cursor", "freebuff", "gemini", "grok", "kilo", "kiro", "mcode", "opencode", "qwen", "vscode")
 #: Extensions of the files that hold transcripts, and what reads them.
 FILE_KINDS = {"jsonl": "lines", "jsonl.zst": "lines", "json": "document"}
@@ -98,29 +102,37 @@ def tool_calls(events: DataFrame) -> DataFrame:
     return rows.select("session", "line", F.coalesce("c.call_id", "c.id").alias("call_id"), action.alias("action"), target.alias("target")).where("action is not null")
 
 
-def read_events(spark: SparkSession, path: str, source: str, most_bytes: int = 64 * 2**20) -> DataFrame:
+def read_events(spark: SparkSession, path: str, source: str) -> DataFrame:
     """(session, source, line, event) of all JSONL transcripts below path, .zst ones too; a line that is no JSON is skipped.
 
-    The session is the file's name. Files are read whole, one a row, so that lines can be numbered; larger ones are left out.
+    The session is the file's name. Plain files of any size are split where Spark splits them; packed ones are unpacked as
+    a stream, some thousand lines at a time.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(F.col("path").rlike(r"\.jsonl(?:\.zst)?\z") & (F.col("length") <= most_bytes))
-    name = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.jsonl(?:\.zst)?\z", "")
-    plain = files.where(~F.col("path").endswith(".zst")).select(name.alias("session"), F.col("content").cast("string").alias("text"))
-    packed = files.where(F.col("path").endswith(".zst")).select(name.alias("session"), _unzstd(F.col("content")).alias("text"))
-    lines = plain.union(packed).select("session", F.posexplode(F.split("text", "\n")).alias("n", "event"))
-    return lines.where(F.try_parse_json("event").isNotNull() & (F.trim("event") != "")).select("session", F.lit(source).alias("source"), (F.col("n") + 1).cast("long").alias("line"), "event")
+    name = F.regexp_replace(F.element_at(F.split("file", "/"), -1), r"\.jsonl(?:\.zst)?\z", "")
+    lines = file_lines(spark, path, "*.jsonl").union(_packed_lines(spark, path, "*.jsonl.zst"))
+    return lines.where(F.try_parse_json("value").isNotNull() & (F.trim("value") != "")).select(name.alias("session"), F.lit(source).alias("source"), "line", F.col("value").alias("event"))
 
 
-def _unzstd(content: Column) -> Column:
-    def run(series):
-        import zstandard
+def _packed_lines(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    """(file, line, value) of zstandard files."""
 
-        return series.map(lambda b: zstandard.ZstdDecompressor().stream_reader(b).read().decode("utf-8", "replace"))
+    def run(batches):
+        import io
 
-    import pandas as pd
+        import pyarrow as pa
+        import zstandard
 
-    run.__annotations__ = {"series": pd.Series, "return": pd.Series}
-    return F.pandas_udf(run, "string")(content)
+        for batch in batches:
+            for file, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                text = io.TextIOWrapper(zstandard.ZstdDecompressor().stream_reader(content), encoding="utf-8", errors="replace", newline="\n")
+                for at in count(0, 4_096):
+                    some = [x.rstrip("\n") for x in islice(text, 4_096)]
+                    if not some:
+                        break
+                    yield pa.RecordBatch.from_pydict({"file": pa.array([file] * len(some)), "line": pa.array(range(at + 1, at + 1 + len(some)), pa.int64()), "value": pa.array(some)})
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
+    return files.select("path", "content").mapInArrow(run, "file string, line long, value string")
 
 
 def read_documents(spark: SparkSession, path: str, source: str) -> DataFrame:

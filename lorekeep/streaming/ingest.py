@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.canonical import event_id
 from ..functions.text import STAMP, credential_kind
+from ..operators.lineage import settle
 from ..sources.journal import OPS, shape_error
 from ..sources.stores import inbox_events
 
@@ -22,7 +23,11 @@ def inbox_stream(spark: SparkSession, path: str, pattern: str = "*.md") -> DataF
 def _append(journal: str):
     def write(events: DataFrame, batch: int) -> None:
         """A batch goes to a folder of its own, so that a repeated batch replaces itself: each event is there once."""
-        numbered = events.withColumn("seq", F.lit(batch + 1) * F.lit(2**40) + F.monotonically_increasing_id() % F.lit(2**40))
+        ordered = settle(events.sort("name", "op", "payload"))
+        sizes = {r["part"]: r["count"] for r in ordered.groupBy(F.spark_partition_id().alias("part")).count().collect()}
+        before = F.create_map(F.lit(-1), F.lit(0).cast("long"), *(x for p in sizes for x in (F.lit(p), F.lit(sum(sizes[q] for q in sizes if q < p)).cast("long"))))
+        place = F.element_at(before, F.spark_partition_id()) + F.monotonically_increasing_id().bitwiseAND(F.lit(2**33 - 1))
+        numbered = ordered.withColumn("seq", F.lit(batch + 1) * F.lit(2**40) + place)  # by name and place in the batch: dense, and the same if the batch is repeated
         rows = numbered.where(shape_error(F.col("op"), F.col("payload")).isNull()).select(
             "seq", event_id(F.col("op"), F.col("payload")).alias("id"), F.date_format(F.current_timestamp(), STAMP).alias("observed_utc"), "op", "payload"
         )

@@ -14,7 +14,11 @@ def rows(spark, schema, *x):
 
 
 def test_drafts_are_bound_to_their_context(spark):
-    ctx = P.id_context(rows(spark, "id string, text string", ("b", "two"), ("a", "one"), ("c", "x" * 50)), most_bytes=20)
+    ctx = P.id_context(rows(spark, "id string, text string", ("b", "two"), ("a", "one")), most_bytes=20)
+    many = rows(spark, "id string, text string", ("b", "two"), ("a", "one"), ("c", "x" * 50))
+    for bad in ({"most_bytes": 20}, {"most": 2}):
+        with pytest.raises(ValueError):
+            P.id_context(many, **bad)
     assert [(r["evidence_id"], r["id"]) for r in ctx.collect()] == [("E1", "a"), ("E2", "b")]
     draft = rows(spark, "claim string, evidence_ids array<string>", ("c1", ["E1", "E2", "E1"]))
     assert {(r["claim"], r["id"]) for r in P.bind(draft, ctx, P.context_hash(ctx)).collect()} == {("c1", "a"), ("c1", "b")}
