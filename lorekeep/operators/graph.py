@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import bare_key, edge_kind, is_canonical_stamp, is_location, node_kind, once, project_key
 from ..functions.vocabulary import EDGE_KINDS, NODE_KINDS, TRIPLES, URI_EDGES, URI_NODES
-from .lineage import settle
+from .lineage import settle, small_side
 
 _EDGE_FIELDS = "`from` string, `to` string, type string, weight double, valid_from string, valid_until string, observed_utc string, provenance string"
 
@@ -99,6 +99,27 @@ def walkable(graph: Graph) -> DataFrame:
     return live.join(a, "from").join(b, "to").where(error.isNull()).select("from", "to").distinct()
 
 
+def walk(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int = 3) -> DataFrame:
+    """(id, depth): the fewest steps from any seed along live, legal edges, up to depth.
+
+    nodes has id, type and provenance. Each level first meets the edges that leave it, and only these are judged, so that
+    the edges of a question are joined with nodes, not those of the whole graph. Nodes, live edges and levels are settled.
+    """
+    kinds = settle(nodes.select("id", node_kind(F.col("type")).alias("kind"), "provenance"))
+    live = settle(edges.where("not retracted").select("from", "edge", "to", "provenance"))
+    reached = frontier = settle(seeds.select("id", F.lit(0).alias("depth")).distinct())
+    a = kinds.select(F.col("id").alias("from"), F.col("kind").alias("from_kind"), F.col("provenance").alias("node_provenance"))
+    b = kinds.select(F.col("id").alias("to"), F.col("kind").alias("to_kind"))
+    error = triple_error(F.col("from_kind"), F.col("edge"), F.col("to_kind"), F.lit(None).cast("string"), F.coalesce("provenance", "node_provenance"))
+    for level in range(1, depth + 1):
+        here = frontier.select(F.col("id").alias("from")).join(a, "from")
+        ahead = live.join(small_side(here, frontier.count()), "from").distinct()
+        step = ahead.join(b, "to").where(error.isNull()).select(F.col("to").alias("id")).distinct()
+        frontier = settle(step.join(reached, "id", "left_anti").select("id", F.lit(level).alias("depth")))
+        reached = reached.union(frontier)
+    return reached
+
+
 def bfs(seeds: DataFrame, links: DataFrame, depth: int = 3) -> DataFrame:
     """(id, depth): the fewest steps from any seed along links (from, to), up to depth.
 

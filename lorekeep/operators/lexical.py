@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_single_cjk, once, tokens
+from .lineage import settle, small_side
 
 K1, B = 1.2, 0.75
 
@@ -16,6 +17,18 @@ def postings(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
     return listed.groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
 
 
+def search(docs: DataFrame, id_col: str, text: Column, queries: DataFrame) -> DataFrame:
+    """bm25() of documents for queries (query, term): their terms are dropped but for the queries' before anything is grouped.
+
+    Statistics cover all documents. The texts are cut into terms twice, once for the mean length, and never settled.
+    """
+    wanted = settle(queries.select("query", "term").distinct())
+    terms = wanted.select("term").distinct()
+    listed = docs.select(F.col(id_col).alias("id"), once(tokens(text)).alias("t")).select("id", F.size("t").alias("len"), F.explode("t").alias("term"))
+    held = listed.join(small_side(terms, wanted.count()), "term", "left_semi").groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
+    return bm25(held, lengths(docs, id_col, text), wanted)
+
+
 def lengths(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
     """One row: the number of documents, empty ones too, and their mean number of tokens, 1 at least."""
     return docs.select(F.size(tokens(text)).alias("len")).agg(F.count("*").alias("n"), F.greatest(F.avg("len"), F.lit(1.0)).alias("mean"))

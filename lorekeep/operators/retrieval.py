@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import clip, hit_excerpt, node_kind, searchable_text, split_extension
 from . import graph as G
 from . import lexical as L
+from .lineage import settle
 
 MOST, DEFAULT, TOP, DEPTH = 100, 20, 20, 3
 
@@ -30,7 +31,7 @@ def substring_seeds(nodes: DataFrame, q: str) -> DataFrame:
 def text_seeds(nodes: DataFrame, q: str, k: int = TOP) -> DataFrame:
     """(id, score): the k best nodes (id, text) for the words of q by BM25, over the best score."""
     wanted = nodes.sparkSession.createDataFrame([(q,)], "q string").select(F.lit(0).alias("query"), F.explode(L.tokens(F.col("q"))).alias("term"))
-    scored = L.bm25(L.postings(nodes, "id", F.col("text")), L.lengths(nodes, "id", F.col("text")), wanted)
+    scored = L.search(nodes, "id", F.col("text"), wanted).withColumn("score", F.round("score", 9))  # sums in any order tie alike
     best = scored.orderBy(F.desc("score"), "id").limit(k)
     return best.crossJoin(F.broadcast(best.agg(F.max("score").alias("most")))).select("id", (F.col("score") / F.col("most")).alias("score"))
 
@@ -42,13 +43,13 @@ def hits(journal: DataFrame, q: str, as_of: str | None = None, limit: int = DEFA
     to 100 and said to be truncated.
     """
     g = G.materialize(journal, as_of, include_expired)
-    nodes = g.columns("label", "type", "body")
+    nodes = settle(g.columns("label", "type", "body", "provenance"))
     seeds = substring_seeds(nodes, q)
     if words and q:
         seeds = seeds.union(text_seeds(g.nodes.select("id", searchable_text(F.col("attrs")).alias("text")), q).select("id")).distinct()
     kept = min(max(limit, 0), MOST)
-    ranked = G.bfs(seeds, G.walkable(g), DEPTH).orderBy("depth", "id").limit(kept)
-    out = ranked.join(nodes, "id").select(
+    ranked = G.walk(nodes, g.edges, seeds, DEPTH).orderBy("depth", "id").limit(kept)
+    out = nodes.join(F.broadcast(ranked), "id").select(
         F.col("id").alias("node_id"), node_kind(F.col("type")).alias("kind"), F.coalesce("label", F.lit("")).alias("label"),
         hit_excerpt(F.col("label"), F.col("body")).alias("excerpt"), F.round(1.0 / (1 + F.col("depth")), 6).alias("score"), F.lit("graph").alias("why"),
     ).orderBy(F.desc("score"), "node_id")

@@ -9,6 +9,7 @@ from ..functions.text import edge_kind, is_calendar_stamp, is_canonical_stamp, i
 from ..functions.vocabulary import EDGE_KINDS, NODE_KINDS, TRIPLES, URI_EDGES, URI_NODES
 from ..operators import graph as G
 from ..operators import retrieval as R
+from ..operators.lineage import settle
 from . import derived as D
 
 AS_OF = "1998-06-15T00:00:00Z"
@@ -172,8 +173,8 @@ def substring_seeds(spark, d):
 def bfs_depth3(spark, d):
     """Forward steps over live, legal edges at an instant."""
     g = G.materialize(D.journal(spark, d), AS_OF)
-    seeds = g.columns("label").where("label = 'ASIA' or id = 'customer:7'").select("id")
-    return G.bfs(seeds, G.walkable(g), 3)
+    nodes = settle(g.columns("label", "type", "provenance"))
+    return G.walk(nodes, g.edges, nodes.where("label = 'ASIA' or id = 'customer:7'").select("id"), 3)
 
 
 @query(f"""WITH RECURSIVE {EDGES}, {NODES}, seeds AS (SELECT id FROM nodes WHERE contains(id, 'NATION_3') OR contains(label, 'NATION_3')), {BFS}
@@ -184,6 +185,23 @@ def hits_query(spark, d):
     return R.hits(D.journal(spark, d), "NATION_3", as_of=AS_OF).hits
 
 
+WORDS = """
+txt AS (SELECT id, kind, label, body, concat_ws(' ', CASE WHEN label <> '' THEN label END, CASE WHEN body <> '' THEN body END) AS text FROM nodes),
+tm AS (SELECT id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS term FROM txt), tl AS (SELECT id, count(*) AS len FROM tm GROUP BY id),
+st AS (SELECT (SELECT count(*) FROM nodes) AS n, greatest((SELECT count(*) FROM tm) / (SELECT count(*) FROM nodes), 1.0) AS mean),
+tf AS (SELECT id, term, count(*) AS tf FROM tm WHERE term IN ('gizmo', '3', 'urgent') GROUP BY ALL), td AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+best AS (SELECT id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 9) AS score FROM tf JOIN td USING (term) JOIN tl USING (id) CROSS JOIN st GROUP BY id ORDER BY score DESC, id LIMIT 20),
+"""
+
+
+@query(f"""WITH RECURSIVE {EDGES}, {NODES}, {WORDS} seeds AS (SELECT id FROM nodes WHERE contains(id, 'gizmo 3 urgent') OR contains(label, 'gizmo 3 urgent') UNION SELECT id FROM best), {BFS}
+SELECT id AS node_id, kind, label, CASE WHEN body = '' THEN label ELSE label || ' ' || substr(body, 1, 200) END AS excerpt, round(1.0 / (1 + depth), 6) AS score, 'graph' AS why
+FROM reached JOIN nodes USING (id) ORDER BY depth, id LIMIT 60""")
+def hits_words(spark, d):
+    """The hits view with seeds by words: the best twenty nodes by BM25, then three steps."""
+    return R.hits(D.journal(spark, d), "gizmo 3 urgent", as_of=AS_OF, limit=60, words=True).hits
+
+
 @query(f"""WITH {EDGES}, ids AS (SELECT p_partkey FROM part WHERE p_partkey % 10 <> 0)
 SELECT "from", 'FOLLOWS_UP' AS edge, "to", 'to' AS missing FROM x WHERE NOT retracted AND try_cast(substr("to", 6) AS bigint) NOT IN (SELECT p_partkey FROM ids) GROUP BY ALL""")
 def dangling_edges(spark, d):

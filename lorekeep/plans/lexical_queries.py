@@ -47,14 +47,13 @@ def _queries(spark, d):
 
 def _scored(spark, d):
     docs = D.table(spark, d, "documents").select("doc_id", "text")
-    scored = L.bm25(L.postings(docs, "doc_id", F.col("text")), L.lengths(docs, "doc_id", F.col("text")), _queries(spark, d))
-    return scored.withColumn("score", F.round("score", 9))
+    return L.search(D.spread(docs), "doc_id", F.col("text"), _queries(spark, d)).withColumn("score", F.round("score", 9))
 
 
 @query(f"SELECT term, count(*) AS df, sum(tf) AS n FROM (SELECT id, term, count(*) AS tf FROM ({_terms('documents', 'doc_id')}) GROUP BY ALL) GROUP BY term")
 def tokens_tf(spark, d):
     """Terms with how many documents hold them and how often."""
-    docs = D.table(spark, d, "documents")
+    docs = D.spread(D.table(spark, d, "documents").select("doc_id", "text"))
     return L.postings(docs, "doc_id", F.col("text")).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("n"))
 
 
