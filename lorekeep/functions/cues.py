@@ -128,3 +128,12 @@ def file_terms(text: Column) -> Column:
     from .text import tokens
 
     return F.array_distinct(F.filter(tokens(text), lambda t: (F.length(t) >= 3) | (t.rlike(rf"\A[{V.CJK}]{{2}}\z"))))
+
+
+def has_directive_cue(text: Column) -> Column:
+    """Whether a user's words may be an instruction, a correction or a complaint; the reader decides."""
+    low = F.lower(text)
+    found = F.lit(False)
+    for cue in V.DIRECTIVE_CUES:
+        found = found | low.contains(cue)
+    return found

@@ -115,3 +115,9 @@ def citations(quotes: DataFrame, sources: DataFrame) -> DataFrame:
     again = F.expr("locate(quote, text, locate(quote, text) + 1)")
     problem = F.when(F.col("text").isNull(), "source_unknown").when(F.col("quote") == "", "quote_empty").when(at == 0, "quote_absent").when(again > 0, "quote_ambiguous")
     return j.select("quote_id", "source_id", F.when(problem.isNull(), at).alias("start"), problem.alias("problem"))
+
+
+def edge_receipts(edges: DataFrame) -> DataFrame:
+    """Edges with receipt: the JSON, keys in order and nulls kept, by which a citation names an edge."""
+    fields = (("from", "from"), ("observed_utc", "observed_utc"), ("provenance", "provenance"), ("to", "to"), ("type", "edge"), ("valid_from", "valid_from"), ("valid_until", "valid_until"))
+    return edges.withColumn("receipt", F.to_json(F.struct(*(F.col(c).alias(k) for k, c in fields)), {"ignoreNullFields": "false"}))

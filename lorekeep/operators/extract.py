@@ -160,3 +160,13 @@ def knowledge_id(kind: str, session: Column, text: Column) -> Column:
 def last_intent(units: DataFrame) -> DataFrame:
     """(session, line, intent): the user's last words, cut at 500 bytes."""
     return units.where("role = 'user'").groupBy("session").agg(F.max_by(F.struct("line", "content"), "line").alias("t")).select("session", "t.line", cut_bytes(F.col("t.content"), 500).alias("intent"))
+
+
+def code_state_diff(units: DataFrame, last: int = 50) -> DataFrame:
+    """(session, diff): of each session's last units (session, line, output, success) the successful outputs that show a diff or a patch,
+    newest first, each cut at 300 bytes. Sessions without one have no row."""
+    back = Window.partitionBy("session").orderBy(F.desc("line"))
+    recent = units.withColumn("back", F.row_number().over(back)).where(F.col("back") <= last)
+    shown = recent.where("success and (contains(output, 'diff') or contains(output, 'patch'))")
+    listed = F.array_sort(F.collect_list(F.struct("back", cut_bytes(F.col("output"), 300).alias("text"))))
+    return shown.groupBy("session").agg(F.array_join(F.transform(listed, lambda x: x["text"]), " | ").alias("diff"))

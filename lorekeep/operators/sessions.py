@@ -102,3 +102,11 @@ def depths(sessions: DataFrame, most: int = 64) -> DataFrame:
 
     links = sessions.where("parent is not null").select(F.col("session").alias("from"), F.col("parent").alias("to"))
     return closure(sessions.select(F.col("session").alias("id")), links, most).groupBy(F.col("root").alias("session")).agg(F.max("depth").alias("depth"))
+
+
+def runtime_reasons(statuses: DataFrame) -> DataFrame:
+    """(session, code, detail): what a runtime's own status (session, status, error) says of open work; only aborted and error say anything."""
+    said = F.when(F.coalesce(F.col("error"), F.lit("")) != "", F.concat(F.lit("runtime status error: "), "error")).otherwise("runtime marks the conversation errored")
+    code = F.when(F.col("status") == "aborted", "interrupted_or_cancelled").when(F.col("status") == "error", "unresolved_tool_failure")
+    detail = F.when(F.col("status") == "aborted", "runtime marks the conversation aborted").otherwise(said)
+    return statuses.select("session", code.alias("code"), detail.alias("detail")).where("code is not null")

@@ -178,3 +178,69 @@ def task_state(writes: DataFrame) -> DataFrame:
     """
     order = F.struct(F.col("confirmed").cast("int"), "line")
     return writes.groupBy("session").agg(F.max_by(F.struct("line", "confirmed", "items"), order).alias("s")).select("session", "s.*")
+
+
+def native_kind(event: Column) -> Column:
+    """What a native event (JSON) calls itself: type, refined by payload.type; `other` without one."""
+    kind = F.coalesce(F.get_json_object(event, "$.type"), F.lit("other"))
+    return F.concat_ws(":", kind, F.get_json_object(event, "$.payload.type"))
+
+
+#: What names an event and places it in time. Fixed values.
+IDENTITY = ("id", "message_id", "turn_id", "uuid", "step_index", "created_at", "timestamp", "status", "type", "parentUuid", "truncated_fields", "ordinal")
+
+
+def identity(event: Column) -> Column:
+    """The identity fields that an event (JSON) has, as a map."""
+    pairs = F.array(*[F.struct(F.lit(k).alias("key"), F.get_json_object(event, f"$.{k}").alias("value")) for k in IDENTITY])
+    return F.map_from_entries(F.filter(pairs, lambda p: p["value"].isNotNull()))
+
+
+def tally(rows: DataFrame) -> DataFrame:
+    """(session, elided, truncated, ranges): of rows (session, line, kind, shown, truncated) what a view leaves out, `kindxn` by kind,
+    and how many shown rows have text that their source cut, with their lines. Sessions without either have no row."""
+    left = rows.where(~F.col("shown")).groupBy("session", "kind").agg(F.count("*").alias("n"))
+    said = left.groupBy("session").agg(F.array_join(F.array_sort(F.collect_list(F.concat("kind", F.lit("x"), "n"))), ",").alias("elided"))
+    cut = rows.where(F.col("shown") & F.col("truncated")).select("session", "line")
+    spans = line_ranges(cut).join(cut.groupBy("session").agg(F.count("*").alias("truncated")), "session")
+    return said.join(spans, "session", "full").select("session", "elided", F.coalesce("truncated", F.lit(0)).alias("truncated"), "ranges")
+
+
+def apply_notes(rows: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Rows (session, line, content, preview) with a note in the place of what decisions (session, line, rule) prune.
+
+    pruned and prune_reason say so, omitted_chars how long the content was; of several rules of a row the first by name counts.
+    """
+    why = decisions.groupBy("session", "line").agg(F.min("rule").alias("prune_reason"))
+    j = rows.join(why, ["session", "line"], "left").withColumn("pruned", F.col("prune_reason").isNotNull())
+    note = lambda before: F.concat(F.lit(before), "prune_reason", F.lit("]"))
+    return j.withColumns({
+        "omitted_chars": F.when(F.col("pruned"), F.length("content")), "content": F.when(F.col("pruned"), note("[tool output omitted: ")).otherwise(F.col("content")),
+        "preview": F.when(F.col("pruned"), note("[omitted: ")).otherwise(F.col("preview")),
+    })
+
+
+def context_view(event: Column) -> Column:
+    """struct(form, role, content, nontext, phase) of an event (JSON) of the one dialect that has this view; null where nothing is shown.
+
+    Whole events stay for compactions, errors and anything unknown; a message of either side is dialogue, with the kinds of its
+    parts that are no text; calls and their outputs are previews; reasoning and instructions of the system are left out.
+    """
+    g = lambda path: F.get_json_object(event, f"$.{path}")
+    kind, inner, role = g("type"), g("payload.type"), g("payload.role")
+    parts = F.from_json(g("payload.content"), "array<struct<type:string,text:string>>")
+    texts = ("text", "input_text", "output_text")
+    said = F.array_join(F.transform(F.filter(parts, lambda p: p["type"].isin(*texts)), lambda p: p["text"]), "\n")
+    other = F.transform(F.filter(parts, lambda p: ~F.coalesce(p["type"], F.lit("unknown")).isin(*texts)), lambda p: F.coalesce(p["type"], F.lit("unknown")))
+    none = F.lit(None).cast("string")
+    made = lambda form, who, text, rest, phase: F.struct(F.lit(form).alias("form"), who.alias("role"), text.alias("content"), rest.alias("nontext"), phase.alias("phase"))
+    no_parts = F.expr("cast(null as array<string>)")
+    whole = made("event", none, event, no_parts, none)
+    item = kind == "response_item"
+    return (
+        F.when((kind == "compacted") | ((kind == "event_msg") & inner.isin("error", "warning", "turn_aborted")), whole)
+        .when(item & (inner == "message") & role.isin("user", "assistant"), made("dialogue", role, F.coalesce(said, F.lit("")), other, g("payload.phase")))
+        .when(item & inner.isin("function_call", "custom_tool_call", "local_shell_call"), made("preview", none, preview(F.coalesce(g("payload.arguments"), g("payload.input"), F.lit(""))), no_parts, none))
+        .when(item & inner.isin("function_call_output", "custom_tool_call_output"), made("preview", none, preview(F.coalesce(g("payload.output"), F.lit(""))), no_parts, none))
+        .when(item & (inner != "reasoning") & (inner != "message"), whole)
+    )

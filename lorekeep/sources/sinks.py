@@ -169,3 +169,11 @@ def attestations(assessed: DataFrame, knowledge: DataFrame) -> DataFrame:
     """Events that record, for closed sessions (session, source, sha256) with knowledge (session) in the graph, that they may be cleaned up."""
     fine = assessed.join(knowledge.select("session").distinct(), "session", "left_semi")
     return upserts(fine, id=F.concat(F.lit("attestation:"), "session"), type=F.lit("Attestation"), label=F.col("session"), content_sha256=F.col("sha256"), provenance=F.col("source"))
+
+
+def purge_events(attempts: DataFrame) -> DataFrame:
+    """(op, payload) that record tries to purge sessions (session, source, sha256, error, at): an attempt, and a failure where error says why."""
+    common = [F.col("session"), F.col("source"), F.col("sha256"), F.col("at")]
+    made = lambda kind, *more: F.to_json(F.struct(F.concat(F.lit(f"purge-{kind}:"), F.substring(F.sha2(F.concat_ws("|", "session", "source", "sha256", "at").cast("binary"), 256), 1, 16)).alias("id"), F.lit("Event").alias("type"), F.lit(f"purge_{kind}").alias("label"), *common, *more))
+    tried = attempts.select(F.lit("node.upsert").alias("op"), made("attempt").alias("payload"))
+    return tried.union(attempts.where("error is not null").select(F.lit("node.upsert"), made("failure", F.col("error"))))
