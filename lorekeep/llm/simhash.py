@@ -17,8 +17,10 @@ from .components import components
 
 SEED = 42
 BITS = 64
-#: Minima per document and per band; 16 bands of 4 find a pair of similarity 0.8 with probability 0.9998.
-MINIMA, ROWS = 64, 4
+#: Kinds of signatures at most.
+KINDS = 32
+#: Minima per document and per band, and bands that two texts must share to be compared before the exact join.
+MINIMA, ROWS, MET = 64, 4, 4
 #: Cells that count shingles by hash, and how many of them a row holds while they are added up.
 COUNTS, CELLS = 2**20, 2**14
 #: Bits of the filter that marks shingles of several groups; where they don't suffice, more shingles are shuffled.
@@ -78,26 +80,40 @@ def segments(bits: int, take: int = 1) -> list[tuple[int, int]]:
     return list(zip(cuts, cuts[1:], strict=False))
 
 
-def key_masks(bits: int, classes: int) -> list[int]:
-    """The bits of each kind of signature: of one segment, of two or of three, as few as make more keys than there are classes.
+def signatures(bits: int, classes: int) -> list[tuple[tuple[int, int], ...]]:
+    """The segments of each kind of signature: one, two or three, as few as make more keys than there are classes.
 
     With keys of at least log2(classes) bits a key is shared by a few classes, so that pairs to verify grow with the classes.
+    No more than KINDS kinds are made: each is a part of the join's condition.
     """
     for take in range(1, 4):
         parts = segments(bits, take)
-        if take == 3 or (BITS * take // len(parts)) - 1 >= math.log2(max(classes, 2)):
-            return [sum(2**hi - 2**lo for lo, hi in some) for some in combinations(parts, take)]
-    raise AssertionError
+        if take > 1 and math.comb(len(parts), take) > KINDS:
+            break
+        kinds = list(combinations(parts, take))
+        if (BITS * take // len(parts)) - 1 >= math.log2(max(classes, 2)):
+            break
+    return kinds
 
 
-def variant_keys(fp: Column, masks: list[int]) -> Column:
-    """(kind of signature, wildcard bit, the other bits of its mask) for each wildcard.
+def mask_of(kind: tuple[tuple[int, int], ...]) -> int:
+    return sum(2**hi - 2**lo for lo, hi in kind)
 
-    Two fingerprints that are equal under a mask share its keys, two that differ there in one bit share the key of that bit.
+
+def variant_keys(fp: Column, kinds: list[tuple[tuple[int, int], ...]]) -> Column:
+    """A key for each wildcard: its number above, the other bits of the kind's segments, side by side, below.
+
+    Two fingerprints that are equal in a kind's segments share its keys, two that differ there in one bit share the key of that bit.
     """
-    keys = []
-    for kind, mask in enumerate(masks):
-        keys += [F.struct(F.lit(kind * BITS + bit).alias("which"), fp.bitwiseAND(F.lit(signed(mask & ~(1 << bit)))).alias("held")) for bit in range(BITS) if mask >> bit & 1]
+    keys, number = [], 0
+    for kind in kinds:
+        held, at = F.lit(0), 0
+        for lo, hi in kind:
+            held = held.bitwiseOR(F.shiftleft(F.shiftrightunsigned(fp, lo).bitwiseAND(F.lit(2 ** (hi - lo) - 1)), at))
+            at += hi - lo
+        for bit in range(at):
+            keys.append(F.lit(number << 48).bitwiseOR(held.bitwiseAND(F.lit(2**at - 1 - 2**bit))))
+            number += 1
     return F.array(*keys)
 
 
@@ -105,24 +121,23 @@ def fingerprint_links(fps: DataFrame, bits: int, classes: int | None = None) ->
     """Pairs a < b of distinct fingerprints (column fp) that differ in at most `bits` bits (2 to 60), each once.
 
     The signature join is an equality join that checks the distance as it goes, and takes a pair only at its first
-    shared key (the first mask under which at most one bit differs; its lowest wildcard if none does): only links
+    shared key (the first kind in whose segments at most one bit differs; its first wildcard if none does): only links
     leave the join, each once. Spark splits its hot keys. classes, if known, says how many rows fps has.
     """
     if not 2 <= bits <= 60:
         raise ValueError("bits is 2 to 60")
-    masks = key_masks(bits, fps.count() if classes is None else classes)
+    kinds = signatures(bits, fps.count() if classes is None else classes)
     dealt = fps.select("fp").repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # few rows, many keys each
-    keyed = dealt.select("fp", F.explode(variant_keys(F.col("fp"), masks)).alias("key")).select("fp", "key.which", "key.held")
+    keyed = dealt.select("fp", F.explode(variant_keys(F.col("fp"), kinds)).alias("key"))
     a, b = keyed.withColumnRenamed("fp", "a"), keyed.withColumnRenamed("fp", "b")
-    differ, bit = F.col("a").bitwiseXOR(F.col("b")), a["which"] % BITS
+    differ, number = F.col("a").bitwiseXOR(F.col("b")), F.shiftrightunsigned(a["key"], 48)
     near = (F.col("a") < F.col("b")) & (F.bit_count(differ) <= bits)
-    first, earlier = F.lit(False), F.lit(True)
-    for kind, mask in enumerate(masks):
-        here = differ.bitwiseAND(F.lit(signed(mask)))
-        lowest = (mask & -mask).bit_length() - 1
-        first = first | (a["which"].between(kind * BITS, kind * BITS + BITS - 1) & earlier & ((here != 0) | (bit == lowest)))
-        earlier = earlier & (F.bit_count(here) > 1)
-    return a.join(b.hint("merge"), (a["which"] == b["which"]) & (a["held"] == b["held"]) & near & first).select("a", "b")
+    first, earlier, begin = F.lit(False), F.lit(True), 0
+    for kind in kinds:
+        here, size = differ.bitwiseAND(F.lit(signed(mask_of(kind)))), mask_of(kind).bit_count()
+        first = first | (number.between(begin, begin + size - 1) & earlier & ((here != 0) | (number == begin)))
+        earlier, begin = earlier & (F.bit_count(here) > 1), begin + size
+    return a.join(b.hint("merge"), (a["key"] == b["key"]) & near & first).select("a", "b")
 
 
 def simhash_components(docs: DataFrame, words: int = 4, bits: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -194,7 +209,7 @@ def minima(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-_SKETCH = "doc_id long, key binary, fp long, bands array<long>, sketch binary, cells int, counts binary"
+_SKETCH = "doc_id long, key binary, fp long, bands array<long>, cells int, counts binary"
 
 
 def _sketches(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
@@ -208,20 +223,19 @@ def _sketches(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFr
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                keys, fps, bands, sketches = [], [], [], []
+                keys, fps, bands = [], [], []
                 for t in part.column(1).to_pylist():
                     hashes = shingle_set(t, words)
                     least = minima(hashes)
                     keys.append(xxhash.xxh3_128_digest(hashes.astype("<u8").tobytes()))
                     fps.append(signed(fingerprint(hashes)))
                     bands.append([signed(xxhash.xxh64_intdigest(least[k : k + ROWS].tobytes(), k)) for k in range(0, MINIMA, ROWS)])
-                    sketches.append((least >> np.uint64(56)).astype("u1").tobytes())
                     np.add.at(total, (hashes % np.uint64(COUNTS)).astype(np.int64), 1)
                 none = [None] * len(keys)
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip([part.column(0), keys, fps, bands, sketches, none, none], form, strict=True)], schema=form)
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip([part.column(0), keys, fps, bands, none, none], form, strict=True)], schema=form)
         cells = range(0, COUNTS, CELLS)
         none = [None] * len(cells)
-        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip([none, none, none, none, none, cells, [_narrow(total[k : k + CELLS]) for k in cells]], form, strict=True)], schema=form)
+        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip([none, none, none, none, cells, [_narrow(total[k : k + CELLS]) for k in cells]], form, strict=True)], schema=form)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(run, _SKETCH)
 
@@ -251,19 +265,16 @@ def _frequencies(sketches: DataFrame) -> np.ndarray:
     return often
 
 
-def _agreeing(pairs: DataFrame, sets: bool, least: float) -> DataFrame:
-    """The pairs (a, b, xa, xb) whose sketches or sets of shingles agree in at least the share `least`."""
+def _agreeing(pairs: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b, xa, xb) whose sets of shingles have at least that Jaccard similarity."""
 
     def run(batches):
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if sets:
-                    p, q = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-                    both = len(np.intersect1d(p, q, assume_unique=True))
-                    keep.append(both >= least * (len(p) + len(q) - both) - 1e-9)
-                else:
-                    keep.append(float(np.mean(np.frombuffer(x, "u1") == np.frombuffer(y, "u1"))) >= least)
+                p, q = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                keep.append(both >= least * (len(p) + len(q) - both) - 1e-9)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return pairs.select("a", "b", "xa", "xb").mapInArrow(run, "a long, b long")
@@ -313,7 +324,8 @@ def prefix_pairs(docs: DataFrame, often: np.ndarray, groups: DataFrame, words: i
     the prefixes' shingles map-side to the ends of the groups that hold each, and sets a bit in a filter of bounded size for
     those of several groups; a second pass emits only shingles with that bit, which few texts have. The join is
     on a shared shingle; at the first one that two texts share, no more can follow in either than remain
-    there, so pairs for which that is too few do not leave it.
+    there, so pairs for which that is too few do not leave it. All shingles that the prefixes of a pair share then bound how
+    many the texts share, and few pairs are left to be compared in full.
     """
     named = docs.where(F.col(id_col).isNotNull())
     groups = small_side(groups, groups.count())
@@ -332,7 +344,15 @@ def prefix_pairs(docs: DataFrame, often: np.ndarray, groups: DataFrame, words: i
     a, b = (kept.select("shingle", *(F.col(c).alias(f"{c}_{side}") for c in ("id", "grp", "n", "remain"))) for side in "ab")
     enough = F.least("remain_a", "remain_b") * (1 + similarity) >= similarity * (F.col("n_a") + F.col("n_b")) - 1e-6
     met = a.join(b.hint("merge"), (a["shingle"] == b["shingle"]) & (F.col("id_a") < F.col("id_b")) & (F.col("grp_a") != F.col("grp_b")) & enough)
-    return met.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+    pairs = cut(met.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct())
+    # of the text whose prefix ends first in the order, what isn't shared there is in the other nowhere
+    need = F.ceil(similarity * F.max("n") - 1e-9)
+    each = cut(kept.groupBy("id").agg(F.collect_list("shingle").alias("rare"), F.max("n").alias("n"), need.alias("need")))
+    sides = pairs
+    for side in "ab":
+        sides = sides.join(each.select(F.col("id").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("rare", "n", "need"))), side)
+    both = F.size(F.array_intersect("rare_a", "rare_b")) + F.greatest("need_a", "need_b") - 1
+    return sides.where(both * (1 + similarity) >= similarity * (F.col("n_a") + F.col("n_b")) - 1e-6).select("a", "b")
 
 
 def similar_links(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits: int = 4, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -340,14 +360,13 @@ def similar_links(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits
 
     The links are enough for the groups: any two classes of that similarity are in one component of them. First come
     SimHash links and, for each MinHash band, a star from the smallest and one from the largest id that share it, so
-    a bucket of any size gives two edges a member; sketches of 64 minima drop those more than three deviations under
-    the threshold. What these leave in different components meets by its rare shingles (prefix_pairs), which misses
-    no pair. The exact similarity of the sets decides all.
+    a bucket of any size gives two edges a member; those that MET bands give go on. What these leave in different
+    components meets by its rare shingles (prefix_pairs), which misses no pair. The exact similarity of the sets decides all.
     """
     made = cut(_sketches(docs.where(F.col(id_col).isNotNull()), words, id_col, text_col))
     often, rows = _frequencies(made), made.where("key is not null")
     # a class is one shingle set, by its 128-bit hash; texts with equal sketches only are other classes
-    classes = cut(rows.groupBy("key").agg(F.min("doc_id").alias("id"), *(F.first(c).alias(c) for c in ("fp", "bands", "sketch"))))
+    classes = cut(rows.groupBy("key").agg(F.min("doc_id").alias("id"), *(F.first(c).alias(c) for c in ("fp", "bands"))))
     member = rows.select("key", "doc_id").join(classes.select("key", "id"), "key").select("doc_id", F.col("id").alias("least"))
     by_fp = cut(classes.groupBy("fp").agg(F.min("id").alias("id")))
     near = fingerprint_links(by_fp.select("fp"), bits)
@@ -355,11 +374,10 @@ def similar_links(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits
     same = classes.join(by_fp.select("fp", F.col("id").alias("ib")), "fp").where("id <> ib").select(F.col("id").alias("ia"), "ib")
     banded = classes.select("id", F.explode("bands").alias("band"))
     ends = banded.groupBy("band").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi")
-    star = banded.join(ends.withColumn("band", dealt_anew(F.col("band"))), "band").select(F.col("id").alias("ia"), F.explode(F.array("lo", "hi")).alias("ib"))
-    pairs = near.select("ia", "ib").union(same).union(star).where("ia <> ib").select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b")).distinct()
-    s = classes.select("id", "sketch")
-    sketched = pairs.join(s.select(F.col("id").alias("a"), F.col("sketch").alias("xa")), "a").join(s.select(F.col("id").alias("b"), F.col("sketch").alias("xb")), "b")
-    likely = cut(_agreeing(sketched, False, similarity - 3 * (similarity * (1 - similarity) / MINIMA) ** 0.5))
+    met = banded.join(ends.withColumn("band", dealt_anew(F.col("band"))), "band")
+    star = met.where("id > lo").select(F.col("lo").alias("ia"), F.col("id").alias("ib")).union(met.where("lo < id and id < hi").select("id", "hi"))
+    often_met = star.groupBy("ia", "ib").agg(F.count("*").alias("n")).where(F.col("n") >= MET).select("ia", "ib")
+    likely = cut(near.select("ia", "ib").union(same).union(often_met).select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b")).distinct())
 
     def make() -> Callable[[list[str]], dict[str, list]]:
         return lambda texts: {"x": [shingle_set(t, words).astype("<u8").tobytes() for t in texts]}
@@ -369,7 +387,7 @@ def similar_links(docs: DataFrame, words: int = 5, similarity: float = 0.8, bits
         n = ids.count()
         sets = map_texts(docs.join(small_side(ids, n), id_col, "left_semi"), make, "x binary", id_col, text_col).dropDuplicates(["doc_id"])
         full = pairs.join(sets.select(deal(F.col("doc_id")).alias("a"), F.col("x").alias("xa")), "a").join(sets.select(deal(F.col("doc_id")).alias("b"), F.col("x").alias("xb")), "b")
-        return cut(_agreeing(full, True, similarity))
+        return cut(_agreeing(full, similarity))
 
     links = exact(likely, dealt_anew)  # stars have hot ends
     of = components(links)

@@ -28,10 +28,10 @@ def brute_exact(rows):
 
 
 @pytest.mark.parametrize("digest", [True, False])
-@pytest.mark.parametrize("most", [500_000, 0])
-def test_exact_on_odd_rows(odd, monkeypatch, digest, most):
-    """Both ways of marking candidates, with and without digests."""
-    monkeypatch.setattr(X, "MOST_KEYS", most)
+@pytest.mark.parametrize("words", [X.WORDS, 1])
+def test_exact_on_odd_rows(odd, monkeypatch, digest, words):
+    """A filter with room and a full one, with and without digests."""
+    monkeypatch.setattr(X, "WORDS", words)
     out = X.exact_dedup(odd, digest=digest)
     rows = [(r["doc_id"], r["text"]) for r in odd.collect()]
     want = brute_exact(rows)
@@ -202,8 +202,8 @@ def test_longer_keys_lose_no_link(spark, bits, classes):
     want = sorted((a, b) for k, a in enumerate(fps) for b in fps[k + 1 :] if bin((a ^ b) & (2**64 - 1)).count("1") <= bits)
     got = sorted((r["a"], r["b"]) for r in S.fingerprint_links(spark.createDataFrame([(f,) for f in fps], "fp long"), bits, classes).collect())
     assert got == want
-    held = min(bin(m).count("1") for m in S.key_masks(4, 2**23))
-    assert held > 23 and len(S.key_masks(4, 2)) == 3
+    held = min(S.mask_of(kind).bit_count() for kind in S.signatures(4, 2**23))
+    assert held > 23 and len(S.signatures(4, 2)) == 3
 
 
 def test_near_dedup_compares_each_shingle_set_of_an_equal_sketch(frame):
