@@ -8,14 +8,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.lineage import BROADCAST_ROWS, small_side, use_checkpoints
 from ..operators.lineage import settle as cut
-from ..operators.lineage import use_checkpoints
 
 __all__ = ["BROADCAST_ROWS", "crc_mod", "cut", "dealt_anew", "drawn", "map_texts", "shared_folder", "small_side", "spread", "table", "text_of"]
 
-#: Rows that a side may have at most to be broadcast; counted before, never guessed.
-BROADCAST_ROWS = 200_000
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -54,11 +51,6 @@ def dealt_anew(col: Column) -> Column:
     return F.greatest(col, col)
 
 
-def small_side(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast if the counted rows allow it, else leave the join to shuffle."""
-    return F.broadcast(df) if rows <= most else df
-
-
 def spread(docs: DataFrame) -> DataFrame:
     """Rows of a table in a few splits, dealt to all cores before costly work on each; any other table stays as it is."""
     cores = docs.sparkSession.sparkContext.defaultParallelism
