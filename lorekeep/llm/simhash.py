@@ -129,15 +129,16 @@ def fingerprint_links(fps: DataFrame, bits: int, classes: int | None = None) ->
     kinds = signatures(bits, fps.count() if classes is None else classes)
     dealt = fps.select("fp").repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # few rows, many keys each
     keyed = dealt.select("fp", F.explode(variant_keys(F.col("fp"), kinds)).alias("key"))
-    a, b = keyed.withColumnRenamed("fp", "a"), keyed.withColumnRenamed("fp", "b")
-    differ, number = F.col("a").bitwiseXOR(F.col("b")), F.shiftrightunsigned(a["key"], 48)
+    a, b = (keyed.select(F.col("fp").alias(side), F.col("key").alias(f"key_{side}")) for side in "ab")
+    # the number is asked of both sides: a filter on one of them alone would make two exchanges of what is one
+    differ, number = F.col("a").bitwiseXOR(F.col("b")), F.shiftrightunsigned(F.greatest("key_a", "key_b"), 48)
     near = (F.col("a") < F.col("b")) & (F.bit_count(differ) <= bits)
     first, earlier, begin = F.lit(False), F.lit(True), 0
     for kind in kinds:
         here, size = differ.bitwiseAND(F.lit(signed(mask_of(kind)))), mask_of(kind).bit_count()
         first = first | (number.between(begin, begin + size - 1) & earlier & ((here != 0) | (number == begin)))
         earlier, begin = earlier & (F.bit_count(here) > 1), begin + size
-    return a.join(b.hint("merge"), (a["key"] == b["key"]) & near & first).select("a", "b")
+    return a.join(b.hint("merge"), (F.col("key_a") == F.col("key_b")) & near & first).select("a", "b")
 
 
 def simhash_components(docs: DataFrame, words: int = 4, bits: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
