@@ -25,6 +25,8 @@ MINIMA, ROWS, MET = 64, 4, 4
 COUNTS, CELLS = 2**20, 2**14
 #: Bits of the filter that marks shingles of several groups; where they don't suffice, more shingles are shuffled.
 FILTER = 2**26
+#: Words of that filter that travel together.
+BLOCK = 2**14
 _A = np.random.default_rng(7).integers(1, 2**63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Bytes of words that are hashed together, and the numbers of that: for each byte, powers of an odd base and of its inverse.
 SPAN = 2**16
@@ -318,6 +320,23 @@ def _prefixes(docs: DataFrame, often: np.ndarray, words: int, similarity: float,
     return map_texts(docs, make, "n int, rare array<struct<at:int,shingle:bigint>>" if only is not None else "n int, rare array<bigint>", id_col, text_col)
 
 
+def _filter(shingles: DataFrame) -> np.ndarray:
+    """FILTER bits, with those of the shingles set, 64 a word: words come to the driver side by side in blocks, not one row each."""
+
+    def pack(key, rows):
+        block = np.zeros(BLOCK, dtype=np.uint64)
+        block[rows.column("word").to_numpy() % BLOCK] = rows.column("mask").to_numpy().view(np.uint64)
+        return pa.table([pa.array([key[0].as_py()], pa.int64()), pa.array([block.tobytes()], pa.binary())], names=["block", "bits"])
+
+    bit = F.col("shingle").bitwiseAND(F.lit(FILTER - 1))
+    masks = shingles.select(F.shiftright(bit, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int")).alias("mask"))
+    masks = masks.groupBy("word").agg(F.bit_or("mask").alias("mask")).withColumn("block", F.expr(f"word div {BLOCK}"))
+    bits = np.zeros(FILTER // 64, dtype=np.uint64)
+    for r in masks.groupBy("block").applyInArrow(pack, "block long, bits binary").collect():
+        bits[r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["bits"], dtype=np.uint64)
+    return bits
+
+
 def prefix_pairs(docs: DataFrame, often: np.ndarray, groups: DataFrame, words: int, similarity: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pairs a < b of ids in different groups, with every one of that Jaccard similarity among them.
 
@@ -336,10 +355,7 @@ def prefix_pairs(docs: DataFrame, often: np.ndarray, groups: DataFrame, words: i
 
     held = of_groups(_prefixes(named, often, words, similarity, id_col, text_col)).select("grp", F.explode("rare").alias("shingle"))
     mixed = held.groupBy("shingle").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo <> hi")
-    bit = F.col("shingle").bitwiseAND(F.lit(FILTER - 1))
-    only = np.zeros(FILTER // 64, dtype=np.uint64)
-    for r in mixed.select(F.shiftright(bit, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int")).alias("mask")).groupBy("word").agg(F.bit_or("mask").alias("mask")).collect():
-        only[r["word"]] = r["mask"] & (2**64 - 1)
+    only = _filter(mixed)
     rare = of_groups(_prefixes(named, often, words, similarity, id_col, text_col, only)).select("doc_id", "grp", "n", F.explode("rare").alias("r"))
     kept = cut(rare.select("r.shingle", F.col("doc_id").alias("id"), "grp", "n", (F.col("n") - F.col("r.at")).alias("remain")))
     a, b = (kept.select("shingle", *(F.col(c).alias(f"{c}_{side}") for c in ("id", "grp", "n", "remain"))) for side in "ab")
