@@ -7,6 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions.text import is_calendar_stamp
 from . import graph as G
+from .lineage import settle
+
+#: Decisions of equal origins that one block of pairs takes, about.
+PAIR_BLOCK = 500
+#: Pairs to compare in one task, about.
+PAIRS_A_TASK = 4_000_000
 
 
 def readiness(premises: DataFrame, by: str = "case") -> DataFrame:
@@ -101,11 +107,27 @@ def ancestors(history: DataFrame, field: str) -> DataFrame:
 
 
 def competing(history: DataFrame) -> DataFrame:
-    """(task, a, b): current decisions of a task that supersede a common ancestor: branches nobody merged."""
-    now = current_decisions(history).select("task", "id")
-    up = ancestors(history, "supersedes").join(now, "id")
-    a, b = up.select("task", F.col("id").alias("a"), "ancestor"), up.select("task", F.col("id").alias("b"), "ancestor")
-    return a.join(b, ["task", "ancestor"]).where("a < b").select("task", "a", "b").distinct()
+    """(task, a, b): current decisions of a task that supersede a common ancestor: branches nobody merged.
+
+    Decisions have a common ancestor if their histories share an origin. Those of equal origins are one kind, so each
+    pair is made once; the second of a pair is dealt by blocks of its kind, so that a large kind is many small joins.
+    """
+    now = current_decisions(history).select("task", "id").distinct()
+    links = history.select(F.col("id").alias("from"), F.explode("supersedes").alias("to"))
+    ends = G.origins(links).withColumnRenamed("from", "id")
+    held = settle(now.join(ends, "id").groupBy("task", "id").agg(F.array_sort(F.collect_set("to")).alias("origins")))
+    kinds = settle(held.groupBy("task", "origins").agg(F.min("id").alias("kind"), F.count("*").alias("n")))
+    member = held.join(kinds, ["task", "origins"]).select("task", "id", "kind", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / PAIR_BLOCK)).alias("block"))
+    by_end = kinds.select("task", "kind", "n", F.explode("origins").alias("end"))
+    other = by_end.select("task", "end", F.col("kind").alias("other"), F.col("n").alias("m"))
+    met = settle(by_end.join(other, ["task", "end"]).select("task", "kind", "other", "n", "m").distinct())
+    pairs = met.agg(F.sum(F.col("n") * F.col("m"))).first()[0] or 0
+    parts = max(int(history.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-pairs // PAIRS_A_TASK))  # a few rows make many, so sizes don't tell
+    met = met.select("task", "kind", "other", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("m") / PAIR_BLOCK) - 1)).alias("block"))
+    a = member.select("task", "kind", F.col("id").alias("a")).join(met, ["task", "kind"]).select("task", "a", "other", "block")
+    b = member.select("task", F.col("id").alias("b"), F.col("kind").alias("other"), "block")
+    a, b = (side.repartition(parts, "task", "other", "block") for side in (a, b))
+    return a.join(b, ["task", "other", "block"]).where("a < b").select("task", "a", "b")
 
 
 def citations(quotes: DataFrame, sources: DataFrame) -> DataFrame:

@@ -169,6 +169,28 @@ def reachable(links: DataFrame) -> DataFrame:
     return now
 
 
+def origins(links: DataFrame) -> DataFrame:
+    """(from, to) of every node with links and the ends that it reaches: nodes without links of their own, each pair once.
+
+    Nodes that reach a common node share an end, and only they do. A cycle has no end; its least node is one.
+    Each round replaces a pair that goes on by the pairs of its end, so that steps double. Where nodes have one link,
+    as in a plain history, there is a row a node, not one for each of its ancestors as in reachable().
+    """
+    links = settle(links.select("from", "to").where("`from` <> `to`").distinct())
+    further = links.select(F.col("from").alias("to"), F.lit(True).alias("on")).distinct()
+    nodes, steps = further.count(), 1
+    now = settle(links.join(further, "to", "left").select("from", "to", F.coalesce("on", F.lit(False)).alias("on"), F.col("to").alias("least")))
+    while steps < nodes and not now.where("on").isEmpty():
+        a = now.where("on").select("from", F.col("to").alias("mid"), F.col("least").alias("before"))
+        b = now.select(F.col("from").alias("mid"), "to", "on", "least")
+        step = a.join(b, "mid").select("from", "to", "on", F.least("before", "least").alias("least"))
+        now = settle(now.where("not on").union(step).groupBy("from", "to", "on").agg(F.min("least").alias("least")))
+        steps *= 2
+    going = now.where("on")  # steps as many as nodes and no end: all of these came through a cycle
+    least = going.groupBy(F.col("from").alias("to")).agg(F.min("least").alias("least"))
+    return now.where("not on").select("from", "to").union(going.select("from", "to").join(least, "to").select("from", F.col("least").alias("to"))).distinct()
+
+
 def dangling(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(from, edge, to, missing): live edges with an end that no node has; locations are no nodes."""
     ids = nodes.select("id")

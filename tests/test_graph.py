@@ -1,6 +1,7 @@
 """Edge semantics of replay, and the hits view on small journals."""
 
 import json
+import random
 
 import pytest
 
@@ -121,6 +122,39 @@ def test_histories_longer_than_64_steps_keep_their_ancestors(spark):
     assert [tuple(r) for r in E.competing(history).collect()] == [("t", "a34", "b69")]
 
 
+def test_competing_branches_keep_a_row_a_decision_not_one_an_ancestor(spark, monkeypatch):
+    """200 branches off one history of 400 decisions: all pairs of them, and no step holds more rows than there are decisions."""
+    held = []
+
+    def counted(df, settle=G.settle):
+        held.append((df := settle(df)).count())
+        return df
+
+    monkeypatch.setattr(G, "settle", counted)
+    monkeypatch.setattr(E, "PAIR_BLOCK", 7, raising=False)
+    main = {f"d{k}": [f"d{k - 1}"] if k else [] for k in range(400)}
+    history = spark.createDataFrame([("t", *x) for x in (main | {f"b{k}": [f"d{2 * k}"] for k in range(199)}).items()], "task string, id string, supersedes array<string>")
+    ends = sorted(["d399", *(f"b{k}" for k in range(199))])
+    got = [tuple(r) for r in E.competing(history).collect()]
+    assert sorted(got) == [("t", a, b) for n, a in enumerate(ends) for b in ends[n + 1 :]]
+    assert max(held) <= history.count()
+
+
+def test_competing_branches_by_all_their_ancestors(spark):
+    """Merges, other tasks' decisions and cycles, against the whole closure."""
+    for seed in range(3):
+        rng = random.Random(seed)
+        rows = [(f"t{k % 2}", f"d{k}", [f"d{rng.randrange(k)}" for _ in range(rng.choice((0, 1, 1, 2)) if k else 0)]) for k in range(60)]
+        rows += [("t0", "x0", ["x1"]), ("t1", "x1", ["x2"]), ("t1", "x2", ["x0", "d9"] if seed == 1 else ["x0"]), ("t0", "y", ["x1", "d3"]), ("t0", "z", ["x2"]), ("t1", "d50", [None])]
+        history = spark.createDataFrame(rows, "task string, id string, supersedes array<string>")
+        up = {}
+        for r in E.ancestors(history, "supersedes").collect():
+            up.setdefault(r["id"], set()).add(r["ancestor"])
+        now = sorted({(r["task"], r["id"]) for r in E.current_decisions(history).collect()})
+        want = [(t, a, b) for t, a in now for u, b in now if t == u and a < b and up.get(a, set()) & up.get(b, set())]
+        assert sorted(tuple(r) for r in E.competing(history).collect()) == want
+
+
 def test_a_bound_on_steps_holds_where_it_is_asked_for(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(9)], "`from` long, `to` long")
     assert G.closure(spark.createDataFrame([(0,)], "id long"), links, 4).count() == 5
