@@ -6,6 +6,7 @@ import math
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,10 @@ from .common import crc_mod, cut, drawn, map_texts, small_side, table, text_of
 LEAST_DF = 3
 #: Labelled examples of the index, at most, and neighbours that vote.
 EXAMPLES, K = 6_000, 15
-BLOCK = 64
+#: Examples of a block. So many words, the most frequent in examples, have their postings as rows of each block.
+BLOCK, FREQUENT = 64, 512
+#: Texts that are searched at once.
+AT_ONCE = 128
 #: Examples that calibrate the votes, at most.
 CALIBRATE = 3_000
 _WORD = regex.compile(r"\p{L}+")
@@ -54,14 +58,10 @@ def count_words(rows: DataFrame) -> DataFrame:
 
 @dataclass
 class Model:
-    """Examples as an inverted index. A feature's entries, one for each block of examples that holds it, run from
-    entry[f] to entry[f + 1]: the block, the largest weight in it, and where its postings (place, weight) begin."""
+    """Examples as an inverted index: feature f's postings (place, weight) run from first[f] to first[f + 1]."""
 
     feature: dict[str, int]
     worth: np.ndarray
-    entry: np.ndarray
-    block: np.ndarray
-    block_max: np.ndarray
     first: np.ndarray
     place: np.ndarray
     weight: np.ndarray
@@ -70,6 +70,41 @@ class Model:
     prior: float
     curve: tuple[np.ndarray, np.ndarray]
 
+    @cached_property
+    def blocks(self) -> Blocks:
+        """Made where it is used, not sent."""
+        return blocks_of(self)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "blocks"}
+
+
+@dataclass
+class Blocks:
+    """The index in blocks of examples. row tells a feature's row among the frequent ones, or -1; rows are their weights
+    (block, row, place in it) in single precision, most the largest of each block. The postings of the others are read
+    whole. Example p's own features and weights, for exact cosines, run from begin[p] to begin[p + 1]."""
+
+    row: np.ndarray
+    rows: np.ndarray
+    most: np.ndarray
+    begin: np.ndarray
+    key: np.ndarray
+    weight: np.ndarray
+
+
+def blocks_of(model: Model) -> Blocks:
+    sizes, n = np.diff(model.first), -(-len(model.label) // BLOCK)
+    frequent = np.sort(np.argsort(-sizes, kind="stable")[:FREQUENT])
+    row = np.full(len(sizes), -1)
+    row[frequent] = np.arange(len(frequent))
+    rows = np.zeros((n, len(frequent), BLOCK), dtype=np.float32)
+    at, owner = ranges(model.first[frequent], model.first[frequent + 1]), np.repeat(np.arange(len(frequent)), sizes[frequent])
+    rows[model.place[at] // BLOCK, owner, model.place[at] % BLOCK] = model.weight[at]
+    order = np.argsort(model.place, kind="stable")
+    begin = np.searchsorted(model.place[order], np.arange(len(model.label) + 1))
+    return Blocks(row, rows, rows.max(axis=2).T.copy(), begin, np.repeat(np.arange(len(sizes)), sizes)[order], model.weight[order])
+
 
 def ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """All integers of the ranges, one range after another."""
@@ -80,10 +115,12 @@ def ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 def vector(feature: dict[str, int], worth: np.ndarray, text: str) -> tuple[np.ndarray, np.ndarray]:
     """Features of a whole text, in order, and their unit-length weights: (1 + ln tf) by idf and telling."""
-    held = sorted((feature[w], n) for w, n in Counter(words_of(text)).items() if w in feature)
+    held = {feature[w]: n for w, n in Counter(words_of(text)).items() if w in feature}
     if not held:
         return np.empty(0, dtype=np.int64), np.empty(0)
-    keys, n = np.array(held).T
+    keys, n = np.fromiter(held, np.int64, len(held)), np.fromiter(held.values(), np.int64, len(held))
+    order = keys.argsort()
+    keys, n = keys[order], n[order]
     w = (1 + np.log(n)) * worth[keys]
     return keys, w / math.sqrt(float(w @ w))
 
@@ -96,49 +133,75 @@ def index_of(feature: dict[str, int], worth: np.ndarray, vectors: list[tuple[np.
     places = np.repeat(np.arange(len(vectors)), sizes)
     order = np.lexsort((places, keys))
     keys, places, weights = keys[order], places[order], weights[order]
-    blocks = max(1, -(-len(vectors) // BLOCK))
-    cell = keys * blocks + places // BLOCK
-    first = np.flatnonzero(np.diff(cell, prepend=-1))
-    most = np.maximum.reduceat(weights, first) if len(first) else weights
-    entry = np.searchsorted(cell[first] // blocks, np.arange(len(feature) + 1))
+    first = np.searchsorted(keys, np.arange(len(feature) + 1))
     field = lambda k: np.array([v[k] for v in vectors], dtype=np.int64)
     line = np.array([0.0, 1.0])
-    return Model(feature, worth, entry, cell[first] % blocks, most, np.append(first, len(cell)), places, weights, field(2), field(3), prior, (line, line))
+    return Model(feature, worth, first, places, weights, field(2), field(3), prior, (line, line))
 
 
-def nearest(model: Model, keys: np.ndarray, weights: np.ndarray, k: int = K, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-    """The k examples of largest exact cosine, ties to the smaller place, and the cosines; examples that share nothing are left out.
+def nearest_many(model: Model, queries: list[tuple[np.ndarray, np.ndarray]], k: int = K, without: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each query the k examples of largest exact cosine, ties to the smaller place, and the cosines; examples that share nothing are left out.
 
-    A block's upper bound is the sum over the query's features of query weight times block maximum. The blocks of
-    the largest bounds are scored first; then all whose bound reaches the k-th best cosine found: the rest can't
-    hold a better one.
+    The postings of a query's rare words are summed first. A block's upper bound is the largest such sum in it and the
+    query weights of frequent words times their block maxima. The blocks of the largest bounds are scored first; then
+    all whose bound reaches the k-th best found: the rest can't hold a better one. A block is scored for all queries
+    that need it at once, in single precision; examples within its error of the k-th best get their exact cosine.
     """
-    if not len(keys) or not len(model.label):
-        return np.empty(0, dtype=np.int64), np.empty(0)
-    begin, end = model.entry[keys], model.entry[keys + 1]
-    at, w = ranges(begin, end), np.repeat(weights, end - begin)
-    blocks = model.block[at]
-    bound = np.bincount(blocks, w * model.block_max[at], minlength=-(-len(model.label) // BLOCK))
-
-    def score(chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        mine = chosen[blocks]
-        a, b = model.first[at[mine]], model.first[at[mine] + 1]
-        posts = ranges(a, b)
-        cosine = np.bincount(model.place[posts], np.repeat(w[mine], b - a) * model.weight[posts], minlength=len(model.label))
-        if without >= 0:
-            cosine[without] = 0.0
-        found = np.flatnonzero(cosine > 0)
-        if len(found) > 4 * k:  # ties of the k-th best stay
-            found = found[cosine[found] >= np.partition(cosine[found], -k)[-k] - 1e-9]
-        best = np.lexsort((found, -cosine[found].round(9)))[:k]
-        return found[best], cosine[found[best]]
-
-    first = np.zeros(len(bound), dtype=bool)
-    first[np.argpartition(-bound, min(2, len(bound) - 1))[:3]] = True
-    places, cosines = score(first)
-    least = cosines[-1] - 1e-9 if len(cosines) == k else 0.0
-    rest = bound >= max(least, 1e-300)
-    return score(rest | first) if (rest & ~first).any() else (places, cosines)
+    none = np.empty(0, dtype=np.int64), np.empty(0)
+    if not len(model.label):
+        return [none] * len(queries)
+    out: list[tuple[np.ndarray, np.ndarray]] = []
+    for at in range(0, len(queries), AT_ONCE):
+        out += _nearest(model, queries[at : at + AT_ONCE], k, without[at : at + AT_ONCE] if without is not None else [-1] * AT_ONCE)
+    return [found if len(keys) else none for (keys, _), found in zip(queries, out, strict=True)]
+
+
+def nearest(model: Model, keys: np.ndarray, weights: np.ndarray, k: int = K, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
+    """The neighbours of one query, see nearest_many."""
+    return nearest_many(model, [(keys, weights)], k, [without])[0]
+
+
+def _nearest(model: Model, queries: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[int]) -> list[tuple[np.ndarray, np.ndarray]]:
+    b, examples = model.blocks, len(model.label)
+    blocks, width = len(b.rows), b.rows.shape[1]
+    slack = (width + 8) * 2.0**-22  # twice the error of a sum of so many products that is at most 1
+    rare = np.zeros((len(queries), blocks * BLOCK), dtype=np.float32)
+    asked = np.zeros((len(queries), width), dtype=np.float32)
+    for n, (keys, weights) in enumerate(queries):
+        row = b.row[keys]
+        asked[n, row[row >= 0]] = weights[row >= 0]
+        keys, weights = keys[row < 0], weights[row < 0]
+        begin, end = model.first[keys], model.first[keys + 1]
+        posts = ranges(begin, end)
+        rare[n] = np.bincount(model.place[posts], np.repeat(weights, end - begin) * model.weight[posts], minlength=blocks * BLOCK)
+        if without[n] >= 0:
+            rare[n, without[n]] = -2.0
+    bound = asked @ b.most + rare.reshape(len(queries), blocks, BLOCK).max(axis=2)
+    near, last = rare.copy(), max(blocks * BLOCK - k, 0)
+
+    def score(needed: np.ndarray) -> np.ndarray:
+        """Adds what frequent words give to the blocks each query needs; the k-th best of each so far."""
+        for block in np.flatnonzero(needed.any(axis=0)).tolist():
+            who = np.flatnonzero(needed[:, block]) if needed[:, block].mean() < 0.5 else slice(None)
+            cut = slice(block * BLOCK, (block + 1) * BLOCK)
+            near[who, cut] = rare[who, cut] + asked[who] @ b.rows[block]
+        return np.partition(near, last, axis=1)[:, last] - slack
+
+    first = np.zeros(bound.shape, dtype=bool)
+    np.put_along_axis(first, np.argpartition(-bound, min(2, blocks - 1), axis=1)[:, :3], True, axis=1)
+    least = score(first)
+    least = score((bound > 0) & (bound + slack >= least[:, None]) & ~first)
+    whole, out = np.zeros(len(model.worth)), []
+    for n, (keys, weights) in enumerate(queries):
+        found = np.flatnonzero(near[n, :examples] > 0 if least[n] <= 0 else near[n, :examples] >= least[n])
+        whole[keys] = weights
+        begin, end = b.begin[found], b.begin[found + 1]
+        own = ranges(begin, end)
+        cosine = np.bincount(np.repeat(np.arange(len(found)), end - begin), whole[b.key[own]] * b.weight[own], minlength=len(found))
+        whole[keys] = 0.0
+        best = np.lexsort((found, -cosine.round(9)))[:k]
+        out.append((found[best], cosine[best]))
+    return out
 
 
 def vote(model: Model, places: np.ndarray, cosines: np.ndarray) -> float:
@@ -219,9 +282,10 @@ def fit(docs: DataFrame, labels: DataFrame, where: Column | None = None, id_col:
     model = index_of(feature, worth, [(np.array(k), np.array(w), y, i) for (k, w, y), i in merged.items()], pos / (pos + neg))
     x, y = [], []
     place = {key: at for at, key in enumerate(merged)}
-    for r in got[:CALIBRATE]:
-        at = place.get((tuple(r["keys"]), tuple(r["weights"]), r["label"]), -1)
-        found = nearest(model, np.array(r["keys"], dtype=np.int64), np.array(r["weights"]), without=at)  # without itself
+    tried = got[:CALIBRATE]
+    asked = [(np.array(r["keys"], dtype=np.int64), np.array(r["weights"])) for r in tried]
+    own = [place.get((tuple(r["keys"]), tuple(r["weights"]), r["label"]), -1) for r in tried]
+    for r, found in zip(tried, nearest_many(model, asked, without=own), strict=True):  # each without itself
         x.append(vote(model, *found))
         y.append(r["label"])
     taken = Counter(y)
@@ -229,19 +293,19 @@ def fit(docs: DataFrame, labels: DataFrame, where: Column | None = None, id_col:
     return model
 
 
-def score_text(model: Model | None, text: str, memo: dict[bytes, tuple]) -> tuple[float, list[int], list[float]]:
-    """Calibrated score, the ids of the examples that voted and their cosines."""
+def score_texts(model: Model | None, texts: list[str], memo: dict[bytes, tuple]) -> list[tuple[float, list[int], list[float]]]:
+    """For each text its calibrated score, the ids of the examples that voted and their cosines."""
     if model is None:
-        return 0.0, [], []
-    keys, weights = vector(model.feature, model.worth, text)
-    key = keys.tobytes() + weights.tobytes()
-    if key not in memo:
-        if len(memo) > 20_000:
-            memo.clear()
-        places, cosines = nearest(model, keys, weights)
+        return [(0.0, [], [])] * len(texts)
+    made = [vector(model.feature, model.worth, t) for t in texts]
+    names = [keys.tobytes() + weights.tobytes() for keys, weights in made]
+    if len(memo) > 20_000:
+        memo.clear()
+    new = {name: v for name, v in zip(names, made, strict=True) if name not in memo}
+    for name, (places, cosines) in zip(new, nearest_many(model, list(new.values())), strict=True):
         raw = vote(model, places, cosines) if len(places) else 0.0
-        memo[key] = (float(np.interp(raw, *model.curve)), model.ids[places].tolist(), cosines.round(6).tolist())
-    return memo[key]
+        memo[name] = (float(np.interp(raw, *model.curve)), model.ids[places].tolist(), cosines.round(6).tolist())
+    return [memo[name] for name in names]
 
 
 def score_documents(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -257,7 +321,7 @@ def score_documents(docs: DataFrame, model: Model | None, id_col: str = "doc_id"
         memo: dict[bytes, tuple] = {}
 
         def run(texts: list[str]) -> dict[str, list]:
-            made = [score_text(sent.value, t, memo) for t in texts]
+            made = score_texts(sent.value, texts, memo)
             return {"score": [m[0] for m in made], "evidence": [m[1] for m in made], "cosines": [m[2] for m in made]}
 
         return run

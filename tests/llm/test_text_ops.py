@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -319,6 +320,68 @@ def test_nearest_is_exact():
         assert places.tolist() == want[cosine[want] > 0].tolist() and np.allclose(found, cosine[places])
 
 
+def examples_of(seed, rows, features, most):
+    """Unit vectors over words of which few are frequent, as index_of takes them."""
+    rng, share = np.random.default_rng(seed), 1 / np.arange(1, features + 1)
+    out = []
+    for n in range(rows):
+        keys = np.unique(rng.choice(features, rng.integers(1, most), p=share / share.sum()))
+        w = rng.random(len(keys)).round(1) + 0.1
+        out.append((keys, w / np.sqrt(w @ w), n % 2, n))
+    return out
+
+
+@pytest.mark.parametrize("frequent", [0, 40, 512])
+def test_nearest_many_is_exact_for_rare_and_frequent_words(monkeypatch, frequent):
+    """Against all cosines: batches, ties, a query that is an example and leaves itself out, queries of one rare word and of none."""
+    monkeypatch.setattr(toxicity, "FREQUENT", frequent)
+    vectors = examples_of(1, 700, 3_000, 60)
+    vectors[650:] = [(*vectors[n][:2], 1, n + 650) for n in range(50)]  # ties
+    model = toxicity.index_of({str(k): k for k in range(3_000)}, np.ones(3_000), vectors, 0.1)
+    full = np.zeros((700, 3_000))
+    for n, v in enumerate(vectors):
+        full[n, v[0]] = v[1]
+    asked = [v[:2] for v in vectors[:200]] + [v[:2] for v in examples_of(2, 200, 3_000, 60)]
+    asked += [(np.array([k]), np.ones(1)) for k in (0, 1_500, 2_999)] + [(np.empty(0, dtype=np.int64), np.empty(0))]
+    without = [*range(200), *[-1] * (len(asked) - 200)]
+    for (keys, weights), left_out, (places, found) in zip(asked, without, toxicity.nearest_many(model, asked, without=without), strict=True):
+        cosine = full[:, keys] @ weights
+        cosine[left_out] *= left_out < 0
+        want = np.lexsort((np.arange(700), -cosine.round(9)))[: toxicity.K]
+        assert places.tolist() == want[cosine[want] > 0].tolist() and np.allclose(found, cosine[places], atol=1e-12, rtol=0)
+
+
+def test_nearest_takes_less_than_reading_all_postings():
+    """Where few words are frequent and bounds rule out little, a batch still costs less than a sum over every posting of each query."""
+    vectors = examples_of(3, 4_000, 20_000, 600)
+    model = toxicity.index_of({str(k): k for k in range(20_000)}, np.ones(20_000), vectors, 0.1)
+    asked = [v[:2] for v in examples_of(4, 256, 20_000, 600)]
+    order = np.argsort(np.concatenate([v[0] for v in vectors]), kind="stable")
+    place = np.repeat(np.arange(4_000), [len(v[0]) for v in vectors])[order]
+    weight, sizes = np.concatenate([v[1] for v in vectors])[order], np.bincount(np.concatenate([v[0] for v in vectors]), minlength=20_000)
+    first = np.append(0, np.cumsum(sizes))
+
+    def plain():
+        for keys, w in asked:
+            posts = toxicity.ranges(first[keys], first[keys + 1])
+            cosine = np.bincount(place[posts], np.repeat(w, sizes[keys]) * weight[posts], minlength=4_000)
+            np.argpartition(-cosine, toxicity.K)
+
+    def ours():
+        many = getattr(toxicity, "nearest_many", lambda m, q: [toxicity.nearest(m, *v) for v in q])
+        many(model, asked)
+
+    def least(run):
+        took = []
+        for _ in range(3):
+            at = time.thread_time()
+            run()
+            took.append(time.thread_time() - at)
+        return min(took)
+
+    assert least(ours) < least(plain)
+
+
 def test_toxicity_learns_and_gives_evidence(spark, frame):
     rng = random.Random(4)
     texts = {k: prose(k, 60) + (f" {rng.choice(['grubword', 'vilestuff'])}{rng.choice(['', 'er', 'ish'])} " + prose(k + 9_000, 20) if k % 5 == 0 else "") for k in range(600)}
